@@ -6,8 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact
-from quarry.llm.common import need, table
+from quarry.llm import bpe, exact, packing
+from quarry.llm.common import need, prepare, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return need(table(spark, sf_dir, "documents"), doc_id="bigint", text="string")
+
+
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +24,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decide(docs).select("doc_id", *exact.RESULT)
 
 
+def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 SQL_OP7 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
@@ -29,7 +42,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_exact_dedup": op7_exact_dedup}
+    return {
+        "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op7_exact_dedup": op7_exact_dedup,
+        "op9_hilbert_packing": op9_hilbert_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
