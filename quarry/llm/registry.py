@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, exact, packing
+from quarry.llm import bpe, exact, packing, simhash
 from quarry.llm.common import need, prepare, table
 
 
@@ -19,6 +19,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(documents(spark, sf_dir), shingle=3, lanes=1, distance=2)
+    return found.select("doc_id", simhash.hex_fingerprint("f0").alias("fingerprint"), "component_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = need(table(spark, sf_dir, "documents"), doc_id="bigint", text="string")
     return exact.decide(docs).select("doc_id", *exact.RESULT)
@@ -44,6 +49,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_hilbert_packing": op9_hilbert_packing,
     }
