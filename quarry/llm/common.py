@@ -84,8 +84,11 @@ class Tables:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(self._end)
 
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
+        path = self.path(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

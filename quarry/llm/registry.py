@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, exact, packing, simhash
-from quarry.llm.common import need, prepare, table
+from quarry.llm import bpe, exact, packing, secrets, simhash, warc
+from quarry.llm.common import Tables, need, prepare, table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    pages = need(table(spark, sf_dir, "pages"), page_id="bigint", url="string", html="string")
+    path = Tables(spark, "warc").path("archive")
+    warc.write(pages, path)
+    return warc.read(spark, path)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(documents(spark, sf_dir), shingle=3, lanes=1, distance=2)
     return found.select("doc_id", simhash.hex_fingerprint("f0").alias("fingerprint"), "component_id")
@@ -33,6 +41,10 @@ def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 SQL_OP7 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
@@ -49,9 +61,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op2_warc_round_trip": op2_warc_round_trip,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_hilbert_packing": op9_hilbert_packing,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
