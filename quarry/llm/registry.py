@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact, packing, secrets, simhash, warc
+from quarry.llm import bpe, exact, langid, packing, secrets, simhash, toxicity, warc
 from quarry.llm.common import Tables, need, prepare, table
 
 
@@ -27,11 +28,24 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.learn(docs, need(table(spark, sf_dir, "labels"), doc_id="bigint", toxic="int"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(documents(spark, sf_dir), shingle=3, lanes=1, distance=2)
     return found.select("doc_id", simhash.hex_fingerprint("f0").alias("fingerprint"), "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = need(table(spark, sf_dir, "documents"), doc_id="bigint", text="string", lang="string")
+    found = langid.predict(docs, langid.learn(docs))
+    return found.select("doc_id", toxicity.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = need(table(spark, sf_dir, "documents"), doc_id="bigint", text="string")
     return exact.decide(docs).select("doc_id", *exact.RESULT)
@@ -62,7 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op2_warc_round_trip": op2_warc_round_trip,
+        "op3_toxicity": op3_toxicity,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op6_language_id": op6_language_id,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_hilbert_packing": op9_hilbert_packing,
         "op10_secret_scan": op10_secret_scan,
