@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact, langid, packing, secrets, simhash, toxicity, warc
+from quarry.llm import bpe, embeddings, exact, langid, packing, secrets, simhash, toxicity, warc
 from quarry.llm.common import Tables, need, prepare, table
 
 
@@ -34,6 +34,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return embeddings.near_groups(need(table(spark, sf_dir, "embeddings"), vec_id="bigint", embedding="array<double>"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(documents(spark, sf_dir), shingle=3, lanes=1, distance=2)
     return found.select("doc_id", simhash.hex_fingerprint("f0").alias("fingerprint"), "component_id")
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op2_warc_round_trip": op2_warc_round_trip,
         "op3_toxicity": op3_toxicity,
+        "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_language_id": op6_language_id,
         "op7_exact_dedup": op7_exact_dedup,
