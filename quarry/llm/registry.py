@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, embeddings, exact, langid, packing, secrets, simhash, toxicity, warc
+from quarry.llm import bpe, embeddings, exact, langid, packing, pii, secrets, simhash, toxicity, warc
 from quarry.llm.common import Tables, need, prepare, table
 
 
@@ -56,6 +56,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decide(docs).select("doc_id", *exact.RESULT)
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(documents(spark, sf_dir))
+
+
 def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_language_id": op6_language_id,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_pii_surrogates": op8_pii_surrogates,
         "op9_hilbert_packing": op9_hilbert_packing,
         "op10_secret_scan": op10_secret_scan,
     }
