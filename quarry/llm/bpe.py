@@ -7,7 +7,7 @@ and the lists of the pairs to the left and right of each position are updated. A
 enters the index under its own rank. So a merge that no text needs costs nothing, and one that many words need is
 looked up once.
 
-Encoded words are kept in a bounded memory (``MEMORY`` words; cleared when full), which lasts as long as the Python
+Encoded words, with what clings to them, are kept in a bounded memory (``MEMORY`` entries; cleared when full), which lasts as long as the Python
 worker. Texts are handled whole, one after another; nothing else grows with the input.
 
 Defined results: null and empty texts have no tokens and decode to the empty text. Special tokens that stand in a text
@@ -23,7 +23,9 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -128,21 +130,23 @@ def encode_words(v: Vocabulary, words: list[str]) -> list[list[int]]:
 
 
 def library_words(path: str):
-    """The same by the tokenizers library, for operators whose ids are to come from it."""
+    """The same by the tokenizers library's model, for operators whose ids are to come from it."""
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.no_truncation()
-    made.no_padding()
+    model = Tokenizer.from_file(path).model
+    letter = dict(enumerate(byte_letters()))
 
     def encode(v: Vocabulary, words: list[str]) -> list[list[int]]:
-        return [x.ids for x in made.encode_batch_fast(words, add_special_tokens=False)]
+        return [[t.id for t in model.tokenize(w if w.isascii() and w.isprintable() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letter))] for w in words]
 
     return encode
 
 
 class Encoder:
-    """Texts to ids and back. library: the words' ids come from the tokenizers library instead of the pair index."""
+    """Texts to ids and back. library: the words' ids come from the tokenizers library instead of the pair index.
+
+    What is remembered are the ids of what stands between white space: words never reach across it.
+    """
 
     def __init__(self, path: str, library: bool = False, memory: int = MEMORY):
         self.v, self.memory = Vocabulary(path), memory
@@ -150,38 +154,55 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.numbers = [str(k) for k in range(self.v.size)]
 
-    def _parts(self, text: str) -> list:
-        """Words, and the ids of special tokens."""
-        if self.v.split is None or "<" not in text:
-            return _WORD.findall(normalise(text))
-        out: list = []
-        for k, part in enumerate(self.v.split.split(text)):
-            if k % 2:
-                out.append(self.v.special[part])
-            elif part:
-                out.extend(_WORD.findall(normalise(part)))
-        return out
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        parts = [self._parts(t) if t else [] for t in texts]
+    def _chunk_ids(self, distinct: list[str]) -> list[bytes]:
         known = self.known
-        new = {w for p in parts for w in p if w not in known}
-        for special in [w for w in new if isinstance(w, int)]:
-            known[special] = array("I", [special]).tobytes()
-            new.discard(special)
-        long = [w for w in new if len(w) > LONGEST]
-        fresh = list(new)
+        words = {c: _WORD.findall(c) for c in distinct if c not in known}
+        fresh = list(set().union(*words.values()).difference(known))
         for w, ids in zip(fresh, self.words(self.v, fresh) if fresh else [], strict=True):
             known[w] = array("I", ids).tobytes()
         get = known.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
-        for w in long:
-            del known[w]
+        for c, ws in words.items():
+            if c not in known:
+                known[c] = b"".join(map(get, ws))
+        out = [get(c) for c in distinct]
+        for c in {*words, *fresh}:
+            if len(c) > LONGEST:
+                del known[c]
         if len(known) > self.memory:
             known.clear()
         return out
 
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts without special tokens: split and told apart by Arrow, put together by index."""
+        lists = pc.ascii_split_whitespace(pa.array(list(map(normalise, texts)), pa.large_string()))
+        told = lists.values.dictionary_encode()
+        found = self._chunk_ids(told.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        every = np.frombuffer(b"".join(found), "<u4")
+        start = np.cumsum(size) - size
+        index = told.indices.to_numpy(zero_copy_only=False)
+        length = size[index]
+        end = np.cumsum(length)
+        flat = every[np.repeat(start[index] - (end - length), length) + np.arange(end[-1] if len(end) else 0)]
+        bounds = np.concatenate([[0], end])[lists.offsets.to_numpy()]
+        return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text as unsigned 32-bit numbers."""
+        parts: list[str] = []
+        place: list[list[int]] = []  # of each text: where its parts are, or minus one less the id of a special token
+        for t in texts:
+            own: list[int] = []
+            for k, part in enumerate(self.v.split.split(t) if t and self.v.split and "<" in t else [t or ""]):
+                if k % 2:
+                    own.append(-1 - self.v.special[part])
+                else:
+                    own.append(len(parts))
+                    parts.append(part)
+            place.append(own)
+        found = self._plain(parts)
+        return [found[own[0]] if len(own) == 1 else np.concatenate([found[x] if x >= 0 else np.array([-1 - x], "<u4") for x in own]) for own in place]
+
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.v.token.__getitem__, ids))
 
@@ -198,7 +219,7 @@ def encoder(path: str, library: bool = False) -> Encoder:
 
 
 #: Characters of text whose words are laid out in one symbol sequence at most, if no single text is longer.
-RUN_CHARS = 2_000_000
+RUN_CHARS = 4_000_000
 
 
 def runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -226,7 +247,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             counts, ids_hash, text_hash = [], [], []
             for s, t in runs(texts):
                 for raw in e.encode(texts[s:t]):
-                    ids = memoryview(raw).cast("I").tolist()
+                    ids = raw.tolist()
                     counts.append(len(ids))
                     ids_hash.append(hashlib.sha256(" ".join(map(e.numbers.__getitem__, ids)).encode()).hexdigest())
                     text_hash.append(hashlib.sha256(e.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import default_path, encoder, runs
+from quarry.llm.bpe import Vocabulary, default_path, encoder, runs
 from quarry.llm.common import Tables
 
 LENGTH, END = 4096, 2
@@ -94,8 +94,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
             keys, texts = b.column(0), b.column(1).to_pylist()
             for s, t in runs(texts):
                 vectors, held = [], []
-                for raw in e.encode(texts[s:t]):
-                    ids = np.frombuffer(raw, "<u4")
+                for ids in e.encode(texts[s:t]):
                     vectors.append(curve.vector(ids))
                     held.append(np.append(ids, end).astype(width).tobytes())
                 yield pa.RecordBatch.from_arrays([keys.slice(s, t - s), pa.array(curve.keys(vectors)), pa.array(held, pa.binary())], schema=schema)
@@ -134,12 +133,11 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     """The pieces of all docs (columns doc_id and text)."""
     path = path or default_path()
     spark = docs.sparkSession
+    width = np.dtype("<u2" if Vocabulary(path).size <= 1 << 16 else "<u4")
     held = Tables(spark, "packing").keep(encoded(docs, path), "ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
-        size = encoder(path, library=True).v.size
-        width = np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
         def rows():
             for b in batches:
