@@ -182,27 +182,58 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None
     return label
 
 
+def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs, light ones first, that connect what all the pairs connect (fewer than two for each member), and the new labels."""
+    order = np.argsort(weight, kind="stable")
+    a, b = a[order], b[order]
+    first, second = [], []
+    while len(a):
+        la, lb = label[a], label[b]
+        differ = la != lb
+        a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
+        if not len(a):
+            break
+        best = np.full(len(label), len(a))
+        place = np.arange(len(a))
+        np.minimum.at(best, la, place)
+        np.minimum.at(best, lb, place)
+        took = np.unique(best[best < len(a)])
+        first.append(a[took])
+        second.append(b[took])
+        label = forest(len(label), a[took], b[took], label)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *first]), np.concatenate([none, *second]), label
+
+
 def links_of_nodes(node: np.ndarray, rep: np.ndarray, f: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (representatives) of rows that are sorted by node and Gray rank; whole nodes only."""
+    """Spanning links (pairs of representatives that are near) of rows sorted by node and Gray rank; whole nodes only."""
     n = len(node)
     starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     sizes = np.diff(np.append(starts, n))
     label = np.arange(n)
     small = np.repeat(sizes <= SMALL, sizes)
+    none = np.zeros(0, np.int64)
+    first, second, weight = [none], [none], [none]
     for lag in range(1, int(min(SMALL, sizes.max(initial=1)))):
         i = np.flatnonzero((node[lag:] == node[:-lag]) & small[lag:])
         if not len(i):
             break
-        i = i[np.bitwise_count(f[i] ^ f[i + lag]).sum(1, dtype=np.int64) <= distance]
-        label = forest(n, i, i + lag, label)
+        apart = np.bitwise_count(f[i] ^ f[i + lag]).sum(1, dtype=np.int64)
+        near = apart <= distance
+        first.append(i[near])
+        second.append(i[near] + lag)
+        weight.append(apart[near])
+    x, y, label = spanning(label, np.concatenate(first), np.concatenate(second), np.concatenate(weight))
+    first, second = [x], [y]
     for s, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        own = np.arange(size)
         for x, y in near_pairs(f[s : s + size], distance):
-            label = forest(n, x + s, y + s, label)
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, label, rep)
-    root = least[label]
-    out = root != rep
-    return rep[out], root[out]
+            apart = np.bitwise_count(f[x + s] ^ f[y + s]).sum(1, dtype=np.int64)
+            x, y, own = spanning(own, x, y, apart)
+            first.append(x + s)
+            second.append(y + s)
+    a, b = rep[np.concatenate(first)], rep[np.concatenate(second)]
+    return a, b
 
 
 def _bit_columns(mask: int, lanes: int) -> list[int]:
@@ -268,18 +299,33 @@ def search(rows: DataFrame, lanes: int, distance: int) -> DataFrame:
     return ordered.select("node", "rep", *fs).mapInArrow(work, "a bigint, b bigint")
 
 
-def groups(docs: DataFrame, shingle: int = 5, lanes: int = 1, distance: int = 2, masks: str = "exact", block: int = BLOCK) -> DataFrame:
-    """doc_id, the fingerprint (f0, f1, ...) and component_id of each row of docs (columns doc_id and text)."""
-    tables = Tables(docs.sparkSession, "simhash")
+def verified(links: DataFrame, classes: DataFrame, lanes: int, distance: int) -> DataFrame:
+    """The links whose representatives' whole fingerprints differ in at most ``distance`` bits."""
     fs = names(lanes)
-    prints = tables.keep(fingerprints(docs, shingle, lanes), "fingerprints")
+    for end in ("a", "b"):
+        links = links.join(classes.select(F.col("rep").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in fs)), end)
+    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in fs), F.lit(0))
+    return links.where(apart <= distance).select("a", "b")
+
+
+def groups(docs: DataFrame, shingle: int = 5, lanes: int = 1, distance: int = 2, masks: str = "exact", block: int = BLOCK, more: int = 0, verify: int = 0) -> DataFrame:
+    """doc_id, the fingerprint (f0, f1, ...) and component_id of each row of docs (columns doc_id and text).
+
+    The index works on ``lanes`` lanes; with ``more`` further ones a link must also differ in at most ``verify`` bits of all.
+    """
+    tables = Tables(docs.sparkSession, "simhash")
+    fs = names(lanes + more)
+    prints = tables.keep(fingerprints(docs, shingle, lanes + more), "fingerprints")
     classes = tables.keep(prints.groupBy(*fs).agg(F.min("doc_id").alias("rep")), "classes")
     known = classes.where("rep is not null")
     patterns = exact_masks(64 * lanes, distance) if masks == "exact" else sampled_masks(64 * lanes, distance, known.count())
-    rows = node_rows(known, patterns, lanes)
+    rows = node_rows(known.select("rep", *names(lanes)), patterns, lanes)
     if masks != "exact":
         rows = split_nodes(tables, rows, block)
-    joined = components(tables, search(rows, lanes, distance))
+    links = search(rows, lanes, distance)
+    if more:
+        links = verified(tables.keep(links.distinct(), "found"), known, lanes + more, verify)
+    joined = components(tables, links)
     named = classes.join(joined, classes["rep"] == joined["node"], "left").select(*fs, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, fs)
 
@@ -288,13 +334,23 @@ def hex_fingerprint(column):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each group (that of the smallest id; rows without an id stay), with the columns of docs.
+def jaccard_bits(similarity: float, bits: int, slack: float = 1.3) -> int:
+    """How many of the bits may differ for sets of this Jaccard similarity, and ``slack`` standard deviations more.
+
+    Sets of one size with similarity J have the cosine 2J/(1+J); a bit differs with the angle's share of pi.
+    """
+    odds = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(odds * bits + slack * math.sqrt(bits * odds * (1 - odds)))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, lanes: int = 4, more: int = 12) -> DataFrame:
+    """One row of each group of near copies (that of the smallest id; rows without an id stay), with the columns of docs.
 
-    By default shingles of five words and fingerprints of 256 bits of which at least 0.8 are equal.
+    Near are texts whose shingles of five words have a Jaccard similarity of at least 0.8 as estimated from 1,024 bits
+    (standard error 0.03); candidates agree in 256 of them well enough.
     """
-    how = {"shingle": 5, "lanes": 4, "distance": 51, "masks": "sampled"} | how
     narrow = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     (name,) = fresh(docs, "gone")
-    gone = groups(narrow, **how).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    found = groups(narrow, shingle, lanes, jaccard_bits(similarity, 64 * lanes, 2.2), "sampled", more=more, verify=jaccard_bits(similarity, 64 * (lanes + more)))
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, F.col(f"`{key}`") == F.col(name), "left_anti")
