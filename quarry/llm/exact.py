@@ -59,7 +59,9 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", hash_bits:
         .groupBy(h, norm)
         .agg(F.max(best).alias(best), F.count(F.lit(1)).alias(size))
     )
-    clash = F.broadcast(groups.groupBy(h).agg(F.count(F.lit(1)).alias(size)).where(F.col(size) > 1).select(h))
+    # All columns of the groups are asked for, so that one exchange of the texts serves this and the join.
+    shared = groups.groupBy(h).agg(F.count(F.lit(1)).alias("n"), F.max(best).alias(best), F.max(size).alias(size))
+    clash = F.broadcast(shared.where((F.col("n") > 1) & F.col(best).isNotNull() & (F.col(size) > 0)).select(h))
     most = rows.join(groups.join(clash, h, "left_anti").select(h, best, size), h)
     rest = rows.withColumn(norm, plain).join(clash, h).join(groups.join(clash, h, "left_semi"), [h, norm])
     return most.unionByName(rest.drop(norm)).select(
