@@ -1,19 +1,185 @@
-"""Named queries over the test tables, each with the DuckDB SQL it must agree with."""
+"""Named queries over the test tables, in the MySQL dialect, each with the DuckDB SQL it must agree with.
+
+Read-only queries are one statement. Those that change tables are a script over tables of their own, filled from the
+test tables, and end in a query.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.session import Session
+from quarry.streaming import windows
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+CASE_SENSITIVE = "utf8mb4_bin"
+
+
+def session(spark: SparkSession, sf_dir: str, collation: str = CASE_SENSITIVE) -> Session:
+    s = Session(spark, collation_name=collation)
+    for t in TABLES:
+        s.attach(t, f"{sf_dir}/{t}.parquet")
+    return s
+
+
+@dataclass(frozen=True)
+class Query:
+    sql: str
+    oracle: str = ""  # the same text if DuckDB reads it so
+    collation: str = CASE_SENSITIVE
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return session(spark, sf_dir, self.collation).script(self.sql)[-1]
+
+
+QUERIES: dict[str, Query] = {
+    # the flagship: join, filter, group, order, page
+    "flagship": Query(
+        """SELECT c.c_mktsegment AS segment, COUNT(*) AS n, ROUND(SUM(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue, ROUND(AVG(l.l_quantity), 6) AS avg_quantity
+           FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+           WHERE o.o_orderdate >= '1995-01-01' AND l.l_quantity BETWEEN 5 AND 45
+           GROUP BY segment HAVING n > 10 ORDER BY revenue DESC, segment LIMIT 5""",
+    ),
+    "pricing_summary": Query(
+        """SELECT l_returnflag, l_linestatus, SUM(l_quantity) AS sum_qty, ROUND(SUM(l_extendedprice), 2) AS sum_base, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS sum_disc,
+                  ROUND(AVG(l_discount), 6) AS avg_disc, COUNT(*) AS n
+           FROM lineitem WHERE l_shipdate <= '1998-09-02' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus"""
+    ),
+    # predicates
+    "filter_compare": Query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 200000 AND o_orderstatus <> 'F' AND NOT o_orderpriority = '5-LOW'"),
+    "filter_between": Query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 12 AND l_discount NOT BETWEEN 0.02 AND 0.09"),
+    "filter_in": Query("SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 7, 49) OR p_brand NOT IN ('Brand#11', 'Brand#12', 'Brand#13') AND p_size < 5"),
+    "filter_not_in_null": Query("SELECT COUNT(*) AS n FROM part WHERE p_size NOT IN (1, 2, NULL)"),
+    "filter_like": Query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1_' AND p_type NOT LIKE 'S%'"),
+    "filter_is_true": Query("SELECT COUNT(*) AS n, SUM(CASE WHEN (s_acctbal > 0) IS TRUE THEN 1 ELSE 0 END) AS t, SUM(CASE WHEN (NULLIF(s_nationkey, 3) > 5) IS NOT TRUE THEN 1 ELSE 0 END) AS f FROM supplier", "SELECT COUNT(*) AS n, CAST(SUM(CASE WHEN (s_acctbal > 0) IS TRUE THEN 1 ELSE 0 END) AS BIGINT) AS t, CAST(SUM(CASE WHEN (NULLIF(s_nationkey, 3) > 5) IS NOT TRUE THEN 1 ELSE 0 END) AS BIGINT) AS f FROM supplier"),
+    "filter_null_safe": Query("SELECT n_nationkey, NULLIF(n_regionkey, 1) <=> NULL AS was_null, NULLIF(n_regionkey, 1) <=> 2 AS is_two FROM nation", "SELECT n_nationkey, NULLIF(n_regionkey, 1) IS NOT DISTINCT FROM NULL AS was_null, NULLIF(n_regionkey, 1) IS NOT DISTINCT FROM 2 AS is_two FROM nation"),
+    "filter_three_valued": Query("SELECT n_nationkey, (NULLIF(n_regionkey, 0) > 1) AND FALSE AS a, (NULLIF(n_regionkey, 0) > 1) OR TRUE AS o, NOT (NULLIF(n_regionkey, 0) > 1) AS x FROM nation"),
+    "filter_truth": Query("SELECT n_nationkey FROM nation WHERE n_regionkey AND LEFT(n_name, n_nationkey % 2)", "SELECT n_nationkey FROM nation WHERE n_regionkey <> 0 AND length(left(n_name, n_nationkey % 2)) > 0"),
+    "case_forms": Query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE 'other' END AS state, CASE WHEN o_totalprice > 250000 THEN 'large' WHEN o_totalprice > 100000 THEN 'middle' END AS size FROM orders"),
+    "arithmetic": Query("SELECT p_partkey, p_size + 1 AS a, p_size - 3 AS b, p_size * 2 AS c, ROUND(p_size / 4, 6) AS d, p_size % 4 AS e, p_size / (p_size - p_size) AS z, p_size % 0 AS m FROM part", "SELECT p_partkey, p_size + 1 AS a, p_size - 3 AS b, p_size * 2 AS c, ROUND(p_size / 4, 6) AS d, p_size % 4 AS e, CAST(NULL AS DOUBLE) AS z, CAST(NULL AS INTEGER) AS m FROM part"),
+    # scalar functions
+    "fn_conditional": Query("SELECT n_nationkey, COALESCE(NULLIF(n_regionkey, 1), -1) AS a, IFNULL(NULLIF(n_name, 'NATION_1'), 'none') AS b, IF(n_regionkey > 2, 'high', 'low') AS c, ISNULL(NULLIF(n_regionkey, 2)) AS d, GREATEST(n_regionkey, 2, n_nationkey) AS g, LEAST(NULLIF(n_regionkey, 1), 3) AS l FROM nation", "SELECT n_nationkey, COALESCE(NULLIF(n_regionkey, 1), -1) AS a, COALESCE(NULLIF(n_name, 'NATION_1'), 'none') AS b, CASE WHEN n_regionkey > 2 THEN 'high' ELSE 'low' END AS c, NULLIF(n_regionkey, 2) IS NULL AS d, GREATEST(n_regionkey, 2, n_nationkey) AS g, CASE WHEN n_regionkey = 1 THEN NULL ELSE LEAST(n_regionkey, 3) END AS l FROM nation"),
+    "fn_string": Query("SELECT c_custkey, CONCAT(c_name, '-', c_mktsegment) AS a, CONCAT_WS('/', c_name, NULLIF(c_mktsegment, 'BUILDING'), 'x') AS b, LOWER(c_name) AS c, UCASE(c_name) AS d, LENGTH(CONCAT(c_name, 'é')) AS e, CHAR_LENGTH(CONCAT(c_name, 'é')) AS f, REVERSE(c_name) AS g, REPLACE(c_name, 'Cust', 'X') AS h, LEFT(c_name, 4) AS i, RIGHT(c_name, 3) AS j FROM customer", "SELECT c_custkey, c_name || '-' || c_mktsegment AS a, concat_ws('/', c_name, NULLIF(c_mktsegment, 'BUILDING'), 'x') AS b, lower(c_name) AS c, upper(c_name) AS d, CAST(strlen(c_name || 'é') AS BIGINT) AS e, length(c_name || 'é') AS f, reverse(c_name) AS g, replace(c_name, 'Cust', 'X') AS h, left(c_name, 4) AS i, right(c_name, 3) AS j FROM customer"),
+    "fn_substring": Query("SELECT p_partkey, SUBSTRING(p_name, 2, 3) AS a, SUBSTR(p_name, -3) AS b, MID(p_name, 0, 2) AS c, SUBSTRING(p_name, 3) AS d, SUBSTRING(p_name, -99, 2) AS e FROM part", "SELECT p_partkey, substr(p_name, 2, 3) AS a, right(p_name, 3) AS b, '' AS c, substr(p_name, 3) AS d, left(p_name, 2) AS e FROM part"),
+    "fn_trim_pad": Query("SELECT s_suppkey, TRIM(CONCAT('\\t ', s_name, ' \\n')) AS a, LTRIM(CONCAT('  ', s_name)) AS b, RTRIM(CONCAT(s_name, '  ')) AS c, LPAD(s_suppkey, 5, '0') AS d, RPAD(s_name, 3, '*') AS e, LPAD('ab', 5, '') AS f, REPEAT('xy', s_suppkey % 3) AS g, CONCAT('[', SPACE(2), ']') AS h FROM supplier", "SELECT s_suppkey, s_name AS a, s_name AS b, s_name AS c, lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS d, left(s_name, 3) AS e, CAST(NULL AS VARCHAR) AS f, repeat('xy', s_suppkey % 3) AS g, '[  ]' AS h FROM supplier"),
+    "fn_locate": Query("SELECT c_custkey, LOCATE('1', c_name) AS a, LOCATE('0', c_name, 12) AS b, INSTR(c_name, 'zz') AS c, ASCII(c_mktsegment) AS d, ASCII('é') AS e, ASCII('') AS f FROM customer", "SELECT c_custkey, instr(c_name, '1') AS a, CASE WHEN instr(substr(c_name, 12), '0') > 0 THEN instr(substr(c_name, 12), '0') + 11 ELSE 0 END AS b, instr(c_name, 'zz') AS c, CAST(ascii(c_mktsegment) AS BIGINT) AS d, CAST(195 AS BIGINT) AS e, CAST(0 AS BIGINT) AS f FROM customer"),
+    "fn_math": Query("SELECT s_suppkey, ABS(s_acctbal) AS a, CEIL(s_acctbal) AS b, FLOOR(s_acctbal) AS c, ROUND(SQRT(ABS(s_acctbal)), 6) AS d, SQRT(-1 - ABS(s_acctbal)) AS e, SIGN(s_acctbal) AS f, ROUND(EXP(s_suppkey / 1000), 6) AS g, ROUND(PI(), 6) AS h, POW(s_suppkey, 2) AS i FROM supplier", "SELECT s_suppkey, abs(s_acctbal) AS a, ceil(s_acctbal) AS b, floor(s_acctbal) AS c, round(sqrt(abs(s_acctbal)), 6) AS d, CAST(NULL AS DOUBLE) AS e, CAST(sign(s_acctbal) AS BIGINT) AS f, round(exp(s_suppkey / 1000), 6) AS g, round(pi(), 6) AS h, pow(s_suppkey, 2) AS i FROM supplier"),
+    "fn_logarithms": Query("SELECT p_partkey, ROUND(LN(p_size), 6) AS a, ROUND(LOG2(p_size), 6) AS b, ROUND(LOG10(p_size), 6) AS c, ROUND(LOG(p_size), 6) AS d, ROUND(LOG(3, p_size), 6) AS e, LOG(1, p_size) AS f, LN(p_size - p_size) AS g FROM part", "SELECT p_partkey, round(ln(p_size), 6) AS a, round(log2(p_size), 6) AS b, round(log10(p_size), 6) AS c, round(ln(p_size), 6) AS d, round(ln(p_size) / ln(3), 6) AS e, CAST(NULL AS DOUBLE) AS f, CAST(NULL AS DOUBLE) AS g FROM part"),
+    "fn_round_truncate": Query("SELECT o_orderkey, ROUND(o_totalprice, 1) AS a, ROUND(o_totalprice, -3) AS b, ROUND(o_totalprice) AS c, TRUNCATE(o_totalprice, 0) AS d, TRUNCATE(-o_totalprice, -2) AS e FROM orders WHERE o_orderkey % 7 = 0", "SELECT o_orderkey, round(o_totalprice, 1) AS a, round(o_totalprice, -3) AS b, round(o_totalprice) AS c, trunc(o_totalprice) AS d, -floor(o_totalprice / 100) * 100 AS e FROM orders WHERE o_orderkey % 7 = 0"),
+    "fn_mod_zero": Query("SELECT p_partkey, MOD(p_size, 7) AS a, MOD(-p_size, 7) AS b, MOD(p_size, 0) AS c FROM part", "SELECT p_partkey, p_size % 7 AS a, (-p_size) % 7 AS b, CAST(NULL AS INTEGER) AS c FROM part"),
+    "fn_date_parts": Query("SELECT o_orderkey, YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, DAY(o_orderdate) AS d, QUARTER(o_orderdate) AS q, HOUR(o_orderdate) AS h, MINUTE(o_orderdate) AS mi, SECOND(o_orderdate) AS s, DAYOFYEAR(o_orderdate) AS dy, DAYOFWEEK(o_orderdate) AS dw, WEEKDAY(o_orderdate) AS wd FROM orders", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, hour(o_orderdate) AS h, minute(o_orderdate) AS mi, second(o_orderdate) AS s, dayofyear(o_orderdate) AS dy, dayofweek(o_orderdate) + 1 AS dw, isodow(o_orderdate) - 1 AS wd FROM orders"),
+    "fn_date_arith": Query("SELECT o_orderkey, DATE(o_orderdate) AS a, DATE_ADD(o_orderdate, INTERVAL 3 DAY) AS b, o_orderdate - INTERVAL 2 HOUR AS c, DATE_SUB(o_orderdate, INTERVAL 1 MONTH) AS d, o_orderdate + INTERVAL 1 YEAR AS e, DATEDIFF('1998-01-01', o_orderdate) AS f, LAST_DAY(o_orderdate) AS g FROM orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, o_orderdate + INTERVAL 3 DAY AS b, o_orderdate - INTERVAL 2 HOUR AS c, o_orderdate - INTERVAL 1 MONTH AS d, o_orderdate + INTERVAL 1 YEAR AS e, datediff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01') AS f, last_day(o_orderdate) AS g FROM orders"),
+    "fn_date_format": Query("SELECT event_id, DATE_FORMAT(ts, '%Y-%m-%d %H:%i:%s') AS a, DATE_FORMAT(ts, '%W, %e %M %y') AS b, DATE_FORMAT(ts, 'day %j of %%') AS c, MONTHNAME(ts) AS d, DAYNAME(ts) AS e FROM events", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS a, strftime(ts, '%A, ') || day(ts) || strftime(ts, ' %B %y') AS b, strftime(ts, 'day %j of %%') AS c, monthname(ts) AS d, dayname(ts) AS e FROM events"),
+    "fn_json_extract": Query("SELECT event_id, JSON_EXTRACT(props, '$.k') AS k, JSON_TYPE(JSON_EXTRACT(props, '$.k')) AS t, JSON_VALID(props) AS v, JSON_LENGTH(props) AS n FROM events", "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'INTEGER' WHEN 'BIGINT' THEN 'INTEGER' WHEN 'VARCHAR' THEN 'STRING' ELSE json_type(props, '$.k') END AS t, CAST(json_valid(props) AS BIGINT) AS v, CAST(len(json_keys(props)) AS BIGINT) AS n FROM events"),
+    "fn_json_build": Query("SELECT n_nationkey, JSON_OBJECT('name', n_name, 'key', n_nationkey) AS o, JSON_ARRAY(n_nationkey, n_name, NULL, TRUE) AS a, JSON_SET('{\"a\": 1}', '$.b', n_regionkey, '$.a', 'x') AS s, JSON_REMOVE('[1, 2, 3]', '$[1]') AS r, JSON_KEYS('{\"z\": 1, \"b\": 2}') AS k, JSON_DEPTH('[[1]]') AS d, JSON_CONTAINS_PATH('{\"a\": {\"b\": 1}}', 'one', '$.x', '$.a.b') AS c FROM nation", "SELECT n_nationkey, '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS o, '[' || n_nationkey || ',\"' || n_name || '\",null,true]' AS a, '{\"a\":\"x\",\"b\":' || n_regionkey || '}' AS s, '[1,3]' AS r, '[\"b\",\"z\"]' AS k, CAST(3 AS BIGINT) AS d, CAST(1 AS BIGINT) AS c FROM nation"),
+    "fn_json_edit": Query("SELECT n_nationkey, JSON_INSERT('{\"a\": 1}', '$.a', 9, '$.c', n_name) AS i, JSON_REPLACE('{\"a\": 1}', '$.a', n_regionkey, '$.q', 1) AS r, JSON_QUOTE(n_name) AS q, JSON_UNQUOTE(JSON_EXTRACT(JSON_OBJECT('x', n_name), '$.x')) AS u FROM nation", "SELECT n_nationkey, '{\"a\":1,\"c\":\"' || n_name || '\"}' AS i, '{\"a\":' || n_regionkey || '}' AS r, '\"' || n_name || '\"' AS q, n_name AS u FROM nation"),
+    # joins
+    "join_inner": Query("SELECT n.n_name, r.r_name FROM nation n INNER JOIN region r ON n.n_regionkey = r.r_regionkey"),
+    "join_left_on_where": Query("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 300000 WHERE c.c_nationkey < 5"),
+    "join_right": Query("SELECT o.o_orderkey, c.c_name FROM orders o RIGHT OUTER JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P'"),
+    "join_cross": Query("SELECT r.r_name, n.n_nationkey FROM region r CROSS JOIN nation n WHERE n.n_nationkey < 4"),
+    "join_theta": Query("SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
+    "join_chain": Query("SELECT r.r_name, COUNT(*) AS n, ROUND(SUM(l.l_extendedprice), 2) AS total FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey JOIN customer c ON c.c_nationkey = n.n_nationkey JOIN orders o ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY r.r_name"),
+    "join_derived": Query("SELECT c.c_name, t.n, t.total FROM customer c JOIN (SELECT o_custkey, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) t ON t.o_custkey = c.c_custkey WHERE t.n > 3"),
+    "join_full": Query("SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL OUTER JOIN customer c ON s.s_suppkey = c.c_custkey AND c.c_acctbal > 0"),
+    "join_using": Query("SELECT a.n_name, b.n_regionkey AS other FROM nation a JOIN nation b USING (n_nationkey)"),
+    "semi_exists": Query("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)"),
+    "anti_not_exists": Query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)"),
+    "in_subquery": Query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)"),
+    "not_in_subquery_null": Query("SELECT COUNT(*) AS n FROM nation WHERE n_regionkey NOT IN (SELECT NULLIF(r_regionkey, 2) FROM region WHERE r_regionkey < 3)"),
+    "row_in": Query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag, l_linestatus) IN (('A', 'F'), ('N', 'O')) AND l_quantity < 3"),
+    # aggregation
+    "agg_global": Query("SELECT COUNT(*) AS n, COUNT(NULLIF(p_size, 1)) AS k, SUM(p_size) AS s, ROUND(AVG(p_size), 6) AS a, MIN(p_name) AS lo, MAX(p_retailprice) AS hi FROM part", "SELECT COUNT(*) AS n, COUNT(NULLIF(p_size, 1)) AS k, CAST(SUM(p_size) AS BIGINT) AS s, ROUND(AVG(p_size), 6) AS a, MIN(p_name) AS lo, MAX(p_retailprice) AS hi FROM part"),
+    "agg_empty": Query("SELECT COUNT(*) AS n, SUM(p_retailprice) AS s, AVG(p_retailprice) AS a, MIN(p_name) AS m FROM part WHERE p_size > 1000"),
+    "agg_distinct": Query("SELECT o_orderstatus, COUNT(DISTINCT o_custkey) AS customers FROM orders GROUP BY o_orderstatus"),
+    "group_expression": Query("SELECT YEAR(o_orderdate) AS y, COUNT(*) AS n FROM orders GROUP BY YEAR(o_orderdate)"),
+    "group_alias": Query("SELECT p_size % 5 AS p_brand, COUNT(*) AS n FROM part GROUP BY p_brand", "SELECT p_size % 5 AS p_brand, COUNT(*) AS n FROM part GROUP BY p_size % 5"),
+    "group_ordinal": Query("SELECT l_returnflag, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY 1, 2"),
+    "having_alias": Query("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING n >= 20"),
+    "having_aggregate": Query("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING SUM(o_totalprice) > 2000000 AND MAX(o_totalprice) < 400000"),
+    "agg_of_derived": Query("SELECT ROUND(AVG(n), 6) AS mean, MAX(n) AS most FROM (SELECT COUNT(*) AS n FROM orders GROUP BY o_custkey) t"),
+    "agg_expressions": Query("SELECT l_returnflag, ROUND(SUM(l_extendedprice * l_discount) / COUNT(*), 6) AS a, ROUND(SUM(l_extendedprice * l_tax), 2) AS b, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS c FROM lineitem GROUP BY l_returnflag"),
+    "group_rollup": Query("SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus WITH ROLLUP", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"),
+    "group_concat": Query("SELECT n_regionkey, GROUP_CONCAT(n_name ORDER BY n_name SEPARATOR '|') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
+    # windows
+    "win_row_number": Query("SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders"),
+    "win_rank": Query("SELECT p_partkey, RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS r, DENSE_RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS d FROM part"),
+    "win_partition_total": Query("SELECT s_suppkey, COUNT(*) OVER (PARTITION BY s_nationkey) AS n, ROUND(SUM(s_acctbal) OVER (PARTITION BY s_nationkey), 2) AS total, MIN(s_acctbal) OVER (PARTITION BY s_nationkey) AS lo, MAX(s_acctbal) OVER (PARTITION BY s_nationkey) AS hi FROM supplier"),
+    "win_running": Query("SELECT p_partkey, SUM(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) AS s, ROUND(AVG(p_size) OVER (PARTITION BY p_brand ORDER BY p_size), 6) AS a FROM part", "SELECT p_partkey, CAST(SUM(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS s, ROUND(AVG(p_size) OVER (PARTITION BY p_brand ORDER BY p_size), 6) AS a FROM part"),
+    "win_star": Query("SELECT *, ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation ORDER BY n_nationkey LIMIT 10"),
+    "win_distinct": Query("SELECT DISTINCT o_orderstatus, COUNT(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders"),
+    "win_lag_frame": Query("SELECT o_orderkey, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s FROM orders"),
+    # order and page
+    "order_mixed": Query("SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand DESC, p_size, p_partkey LIMIT 20"),
+    "order_expression": Query("SELECT s_suppkey FROM supplier ORDER BY ABS(s_acctbal) DESC, s_suppkey LIMIT 7"),
+    "order_hidden": Query("SELECT c_name FROM customer ORDER BY c_acctbal, c_custkey LIMIT 9"),
+    "order_nulls": Query("SELECT n_nationkey FROM nation ORDER BY NULLIF(n_regionkey, 3), n_nationkey DESC LIMIT 8", "SELECT n_nationkey FROM nation ORDER BY NULLIF(n_regionkey, 3) NULLS FIRST, n_nationkey DESC LIMIT 8"),
+    "page_comma": Query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5, 10", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 5"),
+    "page_offset": Query("SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 10 OFFSET 3"),
+    "top_n": Query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 15"),
+    "distinct_rows": Query("SELECT DISTINCTROW l_returnflag, l_linestatus FROM lineitem", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem"),
+    # set operations
+    "union_all": Query("SELECT s_nationkey AS k FROM supplier UNION ALL SELECT c_nationkey FROM customer"),
+    "union_distinct": Query("SELECT s_nationkey AS k FROM supplier UNION SELECT n_regionkey FROM nation"),
+    "union_mixed": Query("SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region UNION ALL SELECT r_regionkey FROM region"),
+    "union_order_limit": Query("SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region ORDER BY k DESC, name LIMIT 6"),
+    "union_derived": Query("SELECT COUNT(*) AS n FROM (SELECT n_name AS x FROM nation UNION SELECT r_name FROM region) t"),
+    "intersect_except": Query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT n_nationkey FROM nation EXCEPT SELECT r_regionkey FROM region"),
+    # CTEs and subqueries
+    "cte_several": Query("WITH a AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT o_custkey FROM a WHERE n > 10) SELECT COUNT(*) AS n FROM b"),
+    "cte_columns": Query("WITH t (k, label) AS (SELECT r_regionkey, r_name FROM region) SELECT x.k, y.label FROM t x JOIN t y ON x.k = y.k"),
+    "cte_shadow": Query("WITH nation AS (SELECT r_regionkey AS k FROM region) SELECT COUNT(*) AS n, MAX(k) AS m FROM nation"),
+    "cte_recursive": Query("WITH RECURSIVE d AS (SELECT DATE('1995-01-28') AS day, 1 AS n UNION ALL SELECT DATE(DATE_ADD(day, INTERVAL 1 DAY)), n + 1 FROM d WHERE n < 9) SELECT d.day, COUNT(o.o_orderkey) AS orders FROM d LEFT JOIN orders o ON DATE(o.o_orderdate) = d.day GROUP BY d.day", "WITH RECURSIVE d AS (SELECT DATE '1995-01-28' AS day, 1 AS n UNION ALL SELECT CAST(day + INTERVAL 1 DAY AS DATE), n + 1 FROM d WHERE n < 9) SELECT d.day, COUNT(o.o_orderkey) AS orders FROM d LEFT JOIN orders o ON CAST(o.o_orderdate AS DATE) = d.day GROUP BY d.day"),
+    "cte_recursive_tree": Query("WITH RECURSIVE t AS (SELECT n_nationkey AS k, 0 AS depth FROM nation WHERE n_nationkey = 1 UNION ALL SELECT n.n_nationkey, t.depth + 1 FROM nation n JOIN t ON n.n_nationkey = t.k * 2 OR n.n_nationkey = t.k * 2 + 1) SELECT k, depth FROM t"),
+    "scalar_subquery": Query("SELECT p_partkey FROM part WHERE p_retailprice > (SELECT AVG(p_retailprice) * 1.2 FROM part)"),
+    "correlated_scalar": Query("SELECT c_custkey, (SELECT MAX(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS best FROM customer c"),
+    "correlated_compare": Query("SELECT l.l_orderkey, l.l_linenumber FROM lineitem l WHERE l.l_quantity > (SELECT 1.5 * AVG(x.l_quantity) FROM lineitem x WHERE x.l_partkey = l.l_partkey)"),
+    "correlated_two_levels": Query("SELECT r.r_regionkey FROM region r WHERE EXISTS (SELECT 1 FROM nation n WHERE n.n_regionkey = r.r_regionkey AND EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey % 5 = r.r_regionkey))"),
+    "derived_nested": Query("SELECT t.k, COUNT(*) AS n FROM (SELECT u.s_nationkey % 5 AS k FROM (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0) u) t GROUP BY t.k"),
+    # collations: text is equal whatever its case
+    "collation_equal": Query("SELECT n_nationkey FROM nation WHERE n_name = 'nation_7' OR n_name LIKE 'NATION__1%'", "SELECT n_nationkey FROM nation WHERE lower(n_name) = 'nation_7' OR n_name ILIKE 'NATION__1%'", "utf8mb4_general_ci"),
+    "collation_group": Query("SELECT LOWER(k) AS k, n FROM (SELECT k, COUNT(*) AS n FROM (SELECT c_mktsegment AS k FROM customer UNION ALL SELECT LOWER(c_mktsegment) FROM customer) u GROUP BY k) t", "SELECT lower(c_mktsegment) AS k, 2 * COUNT(*) AS n FROM customer GROUP BY 1", "utf8mb4_general_ci"),
+    "collation_join": Query("SELECT COUNT(*) AS n FROM nation a JOIN (SELECT LOWER(n_name) AS name FROM nation) b ON a.n_name = b.name", "SELECT COUNT(*) AS n FROM nation", "utf8mb4_general_ci"),
+    # definitions and changes
+    "view_nested": Query("CREATE VIEW a AS SELECT n_nationkey AS k, n_regionkey AS r FROM nation WHERE n_nationkey > 3; CREATE VIEW b (region, n) AS SELECT r, COUNT(*) FROM a GROUP BY r; SELECT region, n FROM b", "SELECT n_regionkey AS region, COUNT(*) AS n FROM nation WHERE n_nationkey > 3 GROUP BY 1"),
+    "create_as_select": Query("CREATE TABLE t AS SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey; SELECT k, n FROM t WHERE n > 5", "SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY 1 HAVING COUNT(*) > 5"),
+    "insert_select": Query("CREATE TABLE t (k INT PRIMARY KEY, name VARCHAR(30), x INT DEFAULT 5); INSERT INTO t (k, name) SELECT n_nationkey, n_name FROM nation UNION SELECT 100 + r_regionkey, r_name FROM region; SELECT * FROM t", "SELECT n_nationkey AS k, n_name AS name, 5 AS x FROM nation UNION ALL SELECT 100 + r_regionkey, r_name, 5 FROM region"),
+    "insert_ignore": Query("CREATE TABLE t (k INT PRIMARY KEY, src VARCHAR(10)); INSERT INTO t SELECT r_regionkey, 'region' FROM region; INSERT IGNORE INTO t SELECT n_nationkey, 'nation' FROM nation; SELECT * FROM t", "SELECT n_nationkey AS k, CASE WHEN n_nationkey IN (SELECT r_regionkey FROM region) THEN 'region' ELSE 'nation' END AS src FROM nation"),
+    "replace_into": Query("CREATE TABLE t (k INT PRIMARY KEY, src VARCHAR(10)); INSERT INTO t SELECT n_nationkey, 'old' FROM nation; REPLACE INTO t SELECT r_regionkey, 'new' FROM region; SELECT * FROM t", "SELECT n_nationkey AS k, CASE WHEN n_nationkey IN (SELECT r_regionkey FROM region) THEN 'new' ELSE 'old' END AS src FROM nation"),
+    "upsert": Query("CREATE TABLE t (k INT PRIMARY KEY, n INT); INSERT INTO t SELECT r_regionkey, 10 FROM region; INSERT INTO t SELECT n_nationkey, 1 FROM nation ON DUPLICATE KEY UPDATE n = n + VALUES(n); SELECT * FROM t", "SELECT n_nationkey AS k, CASE WHEN n_nationkey IN (SELECT r_regionkey FROM region) THEN 11 ELSE 1 END AS n FROM nation"),
+    "update_expression": Query("CREATE TABLE t AS SELECT c_custkey AS k, c_acctbal AS b, c_mktsegment AS s FROM customer; UPDATE t SET b = b + 1, s = CONCAT(s, '!') WHERE k % 3 = 0; SELECT k, ROUND(b, 2) AS b, s FROM t", "SELECT c_custkey AS k, ROUND(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END, 2) AS b, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment || '!' ELSE c_mktsegment END AS s FROM customer"),
+    "update_join": Query("CREATE TABLE t AS SELECT n_nationkey AS k, n_regionkey AS r, 'none' AS label FROM nation; CREATE TABLE u AS SELECT r_regionkey AS r, r_name AS name FROM region WHERE r_regionkey < 3; UPDATE t JOIN u ON u.r = t.r SET t.label = u.name; SELECT k, label FROM t", "SELECT n_nationkey AS k, COALESCE(r_name, 'none') AS label FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey < 3"),
+    "delete_where": Query("CREATE TABLE t AS SELECT o_orderkey AS k, o_orderstatus AS s FROM orders; DELETE FROM t WHERE s IN ('F', 'P'); SELECT k, s FROM t", "SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderstatus NOT IN ('F', 'P')"),
+    "delete_several": Query("CREATE TABLE a AS SELECT n_nationkey AS k, n_regionkey AS r FROM nation; CREATE TABLE b AS SELECT r_regionkey AS r FROM region; DELETE a, b FROM a JOIN b ON a.r = b.r WHERE b.r > 2; SELECT k, 'a' AS t FROM a UNION ALL SELECT r, 'b' FROM b", "SELECT n_nationkey AS k, 'a' AS t FROM nation WHERE n_regionkey <= 2 UNION ALL SELECT r_regionkey, 'b' FROM region WHERE r_regionkey <= 2"),
+    "fk_cascade": Query("CREATE TABLE p (k INT PRIMARY KEY); INSERT INTO p SELECT r_regionkey FROM region; CREATE TABLE c (k INT PRIMARY KEY, r INT, FOREIGN KEY (r) REFERENCES p (k) ON DELETE CASCADE); INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation; DELETE FROM p WHERE k = 1; SELECT k, r FROM c", "SELECT n_nationkey AS k, n_regionkey AS r FROM nation WHERE n_regionkey <> 1"),
+    "fk_set_null": Query("CREATE TABLE p (k INT PRIMARY KEY); INSERT INTO p SELECT r_regionkey FROM region; CREATE TABLE c (k INT PRIMARY KEY, r INT, FOREIGN KEY (r) REFERENCES p (k) ON DELETE SET NULL); INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation; DELETE FROM p WHERE k > 2; SELECT k, r FROM c", "SELECT n_nationkey AS k, CASE WHEN n_regionkey > 2 THEN NULL ELSE n_regionkey END AS r FROM nation"),
+    "transaction_rollback": Query("CREATE TABLE t AS SELECT r_regionkey AS k FROM region; BEGIN; DELETE FROM t WHERE k = 0; SAVEPOINT s; DELETE FROM t; ROLLBACK TO s; COMMIT; SELECT k FROM t", "SELECT r_regionkey AS k FROM region WHERE r_regionkey <> 0"),
+    "alter_table": Query("CREATE TABLE t AS SELECT n_nationkey AS k, n_name AS name FROM nation; ALTER TABLE t ADD COLUMN extra INT DEFAULT 3 AFTER k, RENAME COLUMN name TO label; SELECT k, extra, label FROM t", "SELECT n_nationkey AS k, 3 AS extra, n_name AS label FROM nation"),
+    "information_columns": Query("CREATE TABLE t (a INT PRIMARY KEY, b VARCHAR(9)); SELECT COLUMN_NAME AS name, DATA_TYPE AS kind, COLUMN_KEY AS mark FROM information_schema.columns WHERE TABLE_NAME = 't'", "SELECT 'a' AS name, 'int' AS kind, 'PRI' AS mark UNION ALL SELECT 'b', 'varchar', ''"),
+}
+
+#: Event-time operations, beyond what the dialect has.
+WINDOWS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "events_tumbling": (windows.tumbling, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events GROUP BY 1, 2"),
+    "events_sessions": (
+        windows.sessions,
+        """WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events),
+                s AS (SELECT user_id, ts, SUM(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
+           SELECT user_id, MIN(ts) AS start, COUNT(*) AS n FROM s GROUP BY user_id, k""",
+    ),
+}
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["flagship"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**QUERIES, **{k: q for k, (q, _) in WINDOWS.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**{k: q.oracle or q.sql for k, q in QUERIES.items()}, **{k: sql for k, (_, sql) in WINDOWS.items()}}

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,12 @@ VERSION = "8.0.0-quarry"
 DEFAULT_COLLATION = "utf8mb4_general_ci"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder of its own where driver and executors share one (spark.checkpoint.dir), else, as in tests, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/quarry-tables-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="quarry-tables-")
+
+
 @dataclass
 class Done:
     """What a statement that isn't a query did."""
@@ -43,7 +50,7 @@ class Done:
 class Session:
     def __init__(self, spark: SparkSession, root: str | None = None, database: str = "quarry", collation_name: str = DEFAULT_COLLATION, time_zone: str = "UTC"):
         self.spark = spark
-        self.store = Store(spark, root or "file://" + tempfile.mkdtemp(prefix="quarry-tables-"))
+        self.store = Store(spark, root or scratch(spark))
         self.database, self.collation, self.time_zone = database, collation_name, time_zone
         self.foreign_checks, self.last_insert_id = True, 0
         self.variables: dict[str, object] = {"version": VERSION, "autocommit": 1, "collation_connection": collation_name, "time_zone": time_zone, "foreign_key_checks": 1, "tx_isolation": "REPEATABLE-READ", "transaction_isolation": "REPEATABLE-READ"}
@@ -388,6 +395,8 @@ class Session:
             old = t.column(how[0])
             if len(t.columns) == 1:
                 raise SqlError("(1090) a table keeps one column at least")
+            if any(re.search(rf"\b{re.escape(how[0])}\b", k.text, re.I) for k in t.checks):
+                raise SqlError(f"(3959) a check constraint uses column {how[0]}")
             if any(how[0].lower() in map(str.lower, k.columns) for k in t.foreign):
                 raise SqlError(f"(1828) column {how[0]} is part of a foreign key")
             t.columns.remove(old)
