@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 MEMORY, LONGEST = 400_000, 40
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+#: What plain Latin letters, digits and punctuation don't reach.
+_BEYOND = re.compile("[^\x00-\u024f]")
 
 
 def default_path() -> str:
@@ -48,14 +50,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def normalise(text: str) -> str:
-    """NFC, then each character's own lower case. (White space needs no change: it only parts words.)"""
-    if text.isascii():
-        return text.lower()
-    text = unicodedata.normalize("NFC", text)
-    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-
-
 class Vocabulary:
     """What a tokenizer file holds."""
 
@@ -129,11 +123,9 @@ def encode_words(v: Vocabulary, words: list[str]) -> list[list[int]]:
     return [[x for x in symbols[s:e] if x >= 0] for s, e in zip(starts, ends, strict=True)]
 
 
-def library_words(path: str):
+def library_words(library):
     """The same by the tokenizers library's model, for operators whose ids are to come from it."""
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path).model
+    model = library.model
     letter = dict(enumerate(byte_letters()))
 
     def encode(v: Vocabulary, words: list[str]) -> list[list[int]]:
@@ -149,14 +141,30 @@ class Encoder:
     """
 
     def __init__(self, path: str, library: bool = False, memory: int = MEMORY):
+        from tokenizers import Tokenizer
+
         self.v, self.memory = Vocabulary(path), memory
-        self.words = library_words(path) if library else encode_words
+        self.library = Tokenizer.from_file(path)
+        self.words = library_words(self.library) if library else encode_words
         self.known: dict[str, bytes] = {}
         self.numbers = [str(k) for k in range(self.v.size)]
 
+    def normalise(self, text: str) -> str:
+        """Composed, in lower case. (White space needs no change: it only parts words.) Beyond plain Latin letters the library
+        does it, whose tables of characters may be of another age than Python's."""
+        if text.isascii() or not _BEYOND.search(text):
+            return text.lower()
+        return self.library.normalizer.normalize_str(text)
+
+    def split(self, chunk: str) -> list[str]:
+        """The words of a chunk; beyond plain Latin letters as the library tells letters and numbers."""
+        if chunk.isascii() or not _BEYOND.search(chunk):
+            return _WORD.findall(chunk)
+        return [chunk[s:e] for _, (s, e) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+
     def _chunk_ids(self, distinct: list[str]) -> list[bytes]:
-        known = self.known
-        words = {c: _WORD.findall(c) for c in distinct if c not in known}
+        known, split = self.known, self.split
+        words = {c: split(c) for c in distinct if c not in known}
         fresh = list(set().union(*words.values()).difference(known))
         for w, ids in zip(fresh, self.words(self.v, fresh) if fresh else [], strict=True):
             known[w] = array("I", ids).tobytes()
@@ -174,7 +182,7 @@ class Encoder:
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """Texts without special tokens: split and told apart by Arrow, put together by index."""
-        lists = pc.ascii_split_whitespace(pa.array(list(map(normalise, texts)), pa.large_string()))
+        lists = pc.ascii_split_whitespace(pa.array(list(map(self.normalise, texts)), pa.large_string()))
         told = lists.values.dictionary_encode()
         found = self._chunk_ids(told.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = np.fromiter(map(len, found), np.int64, len(found)) >> 2

@@ -12,7 +12,7 @@ that a pair (an insult and who it is aimed at) can weigh other than its parts. L
 Scoring reads whole texts, one at a time, and knows nothing but the text.
 
 Defined results: null and empty texts have no terms and get the score of the constant alone. Without labelled rows of both kinds the
-model is that constant, the smoothed share of toxic rows. Rows without an id are never learned from and not held out.
+model is that constant, the smoothed share of toxic rows (a third if there are no labels at all). Rows without an id are never learned from and not held out.
 Labels that are null are no labels; of repeated labels the largest counts. Repeated rows get equal scores.
 """
 
@@ -118,7 +118,7 @@ def collected(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def fit(terms: list[np.ndarray], y: np.ndarray, positive: int, negative: int) -> Model:
-    constant = math.log((positive + 1) / (negative + 1))
+    constant = math.log((positive + 1) / (negative + 2))
     none = np.zeros(0, np.int64)
     if not len(y) or y.min() == y.max():
         return Model(constant, none, np.zeros(0), np.zeros((0, FACTORS)))
