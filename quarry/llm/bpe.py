@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words whose encoding a worker remembers, and the longest word that it remembers.
-MEMORY, LONGEST = 400_000, 40
+MEMORY, LONGEST = 800_000, 40
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 #: What plain Latin letters, digits and punctuation don't reach.
@@ -226,19 +226,25 @@ def encoder(path: str, library: bool = False) -> Encoder:
     return _made[key]
 
 
-#: Characters of text whose words are laid out in one symbol sequence at most, if no single text is longer.
+#: Characters of text whose words are laid out in one symbol sequence, or a single text if it is longer.
 RUN_CHARS = 4_000_000
 
 
-def runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for k, t in enumerate(texts):
-        held += len(t or "")
-        if held >= RUN_CHARS:
-            yield start, k + 1
-            start, held = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str | None]]]:
+    """Ids and texts (the first two columns) of so many rows."""
+    keys: list[int | None] = []
+    texts: list[str | None] = []
+    held = 0
+    for b in batches:
+        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            keys.append(k)
+            texts.append(t)
+            held += len(t or "")
+            if held >= RUN_CHARS:
+                yield keys, texts
+                keys, texts, held = [], [], 0
+    if keys:
+        yield keys, texts
 
 
 ROUND_TRIP = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -250,15 +256,13 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for b in batches:
-            texts = b.column(1).to_pylist()
+        for keys, texts in runs(batches):
             counts, ids_hash, text_hash = [], [], []
-            for s, t in runs(texts):
-                for raw in e.encode(texts[s:t]):
-                    ids = raw.tolist()
-                    counts.append(len(ids))
-                    ids_hash.append(hashlib.sha256(" ".join(map(e.numbers.__getitem__, ids)).encode()).hexdigest())
-                    text_hash.append(hashlib.sha256(e.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], schema=ROUND_TRIP)
+            for raw in e.encode(texts):
+                ids = raw.tolist()
+                counts.append(len(ids))
+                ids_hash.append(hashlib.sha256(" ".join(map(e.numbers.__getitem__, ids)).encode()).hexdigest())
+                text_hash.append(hashlib.sha256(e.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], schema=ROUND_TRIP)
 
     return docs.mapInArrow(work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

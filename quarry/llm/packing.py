@@ -90,14 +90,12 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         e = encoder(path, library=True)
         width = np.dtype("<u2" if e.v.size <= 1 << 16 else "<u4")
         curve = Curve(e.v.size)
-        for b in batches:
-            keys, texts = b.column(0), b.column(1).to_pylist()
-            for s, t in runs(texts):
-                vectors, held = [], []
-                for ids in e.encode(texts[s:t]):
-                    vectors.append(curve.vector(ids))
-                    held.append(np.append(ids, end).astype(width).tobytes())
-                yield pa.RecordBatch.from_arrays([keys.slice(s, t - s), pa.array(curve.keys(vectors)), pa.array(held, pa.binary())], schema=schema)
+        for keys, texts in runs(batches):
+            vectors, held = [], []
+            for ids in e.encode(texts):
+                vectors.append(curve.vector(ids))
+                held.append(np.append(ids, end).astype(width).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(curve.keys(vectors)), pa.array(held, pa.binary())], schema=schema)
 
     return docs.mapInArrow(work, "doc_id bigint, place bigint, ids binary")
 
