@@ -158,6 +158,14 @@ QUERIES: dict[str, Query] = {
     "fk_set_null": Query("CREATE TABLE p (k INT PRIMARY KEY); INSERT INTO p SELECT r_regionkey FROM region; CREATE TABLE c (k INT PRIMARY KEY, r INT, FOREIGN KEY (r) REFERENCES p (k) ON DELETE SET NULL); INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation; DELETE FROM p WHERE k > 2; SELECT k, r FROM c", "SELECT n_nationkey AS k, CASE WHEN n_regionkey > 2 THEN NULL ELSE n_regionkey END AS r FROM nation"),
     "transaction_rollback": Query("CREATE TABLE t AS SELECT r_regionkey AS k FROM region; BEGIN; DELETE FROM t WHERE k = 0; SAVEPOINT s; DELETE FROM t; ROLLBACK TO s; COMMIT; SELECT k FROM t", "SELECT r_regionkey AS k FROM region WHERE r_regionkey <> 0"),
     "alter_table": Query("CREATE TABLE t AS SELECT n_nationkey AS k, n_name AS name FROM nation; ALTER TABLE t ADD COLUMN extra INT DEFAULT 3 AFTER k, RENAME COLUMN name TO label; SELECT k, extra, label FROM t", "SELECT n_nationkey AS k, 3 AS extra, n_name AS label FROM nation"),
+    "insert_auto_increment": Query("CREATE TABLE t (id INT PRIMARY KEY AUTO_INCREMENT, r INT, note VARCHAR(9) DEFAULT 'new', UNIQUE KEY u (r, note)); INSERT INTO t (r) VALUES (7), (NULL), (NULL); INSERT INTO t SET r = 9, note = DEFAULT; SELECT id, r, note FROM t", "SELECT * FROM (VALUES (1, 7, 'new'), (2, NULL, 'new'), (3, NULL, 'new'), (4, 9, 'new')) v(id, r, note)"),
+    "decimal_exact": Query("CREATE TABLE m (id INT PRIMARY KEY, amount DECIMAL(20,2)); INSERT INTO m VALUES (1, 0.1), (2, 0.2), (3, 12345678901234567.89); SELECT SUM(amount) AS s, COUNT(*) AS n FROM m WHERE amount > 0.15", "SELECT CAST(12345678901234568.09 AS DECIMAL(30,2)) AS s, 2 AS n"),
+    "json_column": Query("CREATE TABLE j (id BIGINT, body JSON); INSERT INTO j SELECT event_id, props FROM events; SELECT id, body->>'$.k' AS k FROM j", "SELECT event_id AS id, json_extract_string(props, '$.k') AS k FROM events"),
+    "truncate_rename": Query("CREATE TABLE a AS SELECT r_regionkey AS k FROM region; TRUNCATE TABLE a; RENAME TABLE a TO b; INSERT INTO b VALUES (5); SELECT k FROM b", "SELECT 5 AS k"),
+    "locking_read": Query("SELECT n_nationkey FROM nation WHERE n_regionkey = 1 FOR UPDATE", "SELECT n_nationkey FROM nation WHERE n_regionkey = 1"),
+    "update_limit": Query("CREATE TABLE t (k INT PRIMARY KEY, x INT); INSERT INTO t SELECT n_nationkey, 0 FROM nation; UPDATE t SET x = 1 ORDER BY k DESC LIMIT 4; SELECT k, x FROM t", "SELECT n_nationkey AS k, CASE WHEN n_nationkey > (SELECT MAX(n_nationkey) - 4 FROM nation) THEN 1 ELSE 0 END AS x FROM nation"),
+    "fk_update_cascade": Query("CREATE TABLE p (k INT PRIMARY KEY); INSERT INTO p SELECT r_regionkey FROM region; CREATE TABLE c (k INT PRIMARY KEY, r INT, FOREIGN KEY (r) REFERENCES p (k) ON UPDATE CASCADE); INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation; UPDATE p SET k = k + 100 WHERE k < 2; SELECT k, r FROM c", "SELECT n_nationkey AS k, CASE WHEN n_regionkey < 2 THEN n_regionkey + 100 ELSE n_regionkey END AS r FROM nation"),
+    "show_tables": Query("CREATE TABLE one (a INT); CREATE VIEW two AS SELECT a FROM one; SHOW FULL TABLES", "SELECT 'one' AS Tables_in_quarry, 'BASE TABLE' AS Table_type UNION ALL SELECT 'two', 'VIEW'"),
     "information_columns": Query("CREATE TABLE t (a INT PRIMARY KEY, b VARCHAR(9)); SELECT COLUMN_NAME AS name, DATA_TYPE AS kind, COLUMN_KEY AS mark FROM information_schema.columns WHERE TABLE_NAME = 't'", "SELECT 'a' AS name, 'int' AS kind, 'PRI' AS mark UNION ALL SELECT 'b', 'varchar', ''"),
 }
 

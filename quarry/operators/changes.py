@@ -123,9 +123,7 @@ class Changes:
         return self.store.append(table, rows)
 
     def held(self, table: Table, rows: DataFrame) -> DataFrame:
-        """The statement's rows, written once: later steps read them several times."""
-        folder = self.store.write(table, rows)
-        return self.store.spark.read.schema(table.schema()).parquet(folder)
+        return self.store.hold(table, rows)
 
     def firsts(self, table: Table, rows: DataFrame, key: Index, last: bool = False) -> DataFrame:
         """The first (or last) row of each key; rows whose key isn't known all stay."""

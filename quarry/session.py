@@ -182,6 +182,7 @@ class Session:
                 self.store.publish(self.now)
         finally:
             self.now = None
+            self.store.sweep()
         return out if isinstance(out, Done) else Done(out or 0)
 
     def table(self, name: tuple[str | None, str]) -> Table:
@@ -621,9 +622,7 @@ class Session:
                 row = f"{quoted(alias)}.{quoted(ROW)}"
                 order_text = order or (row if limit is not None else None)
                 hit = self.hits(text, where, row, order_text, limit).where(f"{quoted(ROW)} IS NOT NULL")
-                folder = f"{self.store.root}/data/hit-{hashlib.md5(repr((alias, t.folders, where)).encode(), usedforsecurity=False).hexdigest()}"
-                hit.distinct().write.mode("overwrite").parquet(folder)
-                ids.append((t, self.spark.read.schema(hit.schema).parquet(folder)))
+                ids.append((t, self.store.keep(hit.distinct(), "hit")))
             children_first = sorted(ids, key=lambda x: -self.rank(x[0]))
             return sum(changes.delete(t, hit) for t, hit in children_first)
 
@@ -702,6 +701,18 @@ class Session:
     def _nothing(self, **_) -> Done:
         return Done()
 
+    # maintenance
+
+    def _compact(self, tables) -> Done:
+        def work(c: Catalogue) -> int:
+            held = [self.table(t) for t in tables] if tables else [t for d in c.databases for t in c.tables(d)]
+            return sum(self.store.compact(t) for t in held)
+
+        return self.changing(work)
+
+    def _gc(self) -> Done:
+        return Done(self.store.collect_garbage(self.store.load()))
+
     # metadata
 
     def _show(self, text: str) -> DataFrame:

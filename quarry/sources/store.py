@@ -194,6 +194,42 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.passing: list[str] = []  # folders that are of no use after the statement
+
+    def hold(self, table: Table, rows: DataFrame) -> DataFrame:
+        """Rows of a running statement, written once; later steps read them several times, and no lost executor takes them along."""
+        self.passing.append(folder := self.write(table, rows))
+        return self.spark.read.schema(table.schema()).parquet(folder)
+
+    def keep(self, rows: DataFrame, name: str) -> DataFrame:
+        """The same for rows that aren't a table's."""
+        self.passing.append(folder := f"{self.root}/data/{name}-{uuid.uuid4().hex}")
+        rows.write.parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
+
+    def sweep(self) -> None:
+        """After a statement."""
+        for folder in self.passing:
+            p, fs = self._fs(folder)
+            fs.delete(p, True)
+        self.passing.clear()
+
+    def compact(self, table: Table) -> int:
+        """One folder instead of several; the number of those it took the place of."""
+        before = len(table.folders)
+        if before > 1:
+            self.replace(table, self.read(table))
+        return before if before > 1 else 0
+
+    def collect_garbage(self, catalogue: Catalogue) -> int:
+        """Remove the folders that no table has any more. Readers of older versions must have ended."""
+        used = {f.rpartition("/")[2] for ts in catalogue.databases.values() for t in ts.values() if isinstance(t, Table) for f in t.folders}
+        p, fs = self._fs(f"{self.root}/data")
+        gone = 0
+        for status in fs.listStatus(p) if fs.exists(p) else []:
+            if status.getPath().getName() not in used:
+                gone += fs.delete(status.getPath(), True)
+        return gone
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm

@@ -187,3 +187,21 @@ def test_like_and_as(users):
     users.script("CREATE TABLE l LIKE users; CREATE TABLE s AS SELECT id, age / 2 AS half FROM users")
     assert got(users, "SELECT COUNT(*) FROM l") == [(0,)]
     assert got(users, "SELECT half FROM s WHERE id = 1") == [(15.0,)]
+
+
+def test_maintenance(users, spark):
+    from pathlib import Path
+
+    users.sql("INSERT INTO users (name) VALUES ('x')")
+    assert users.sql("COMPACT TABLE users").affected == 2
+    data = Path(users.store.root.removeprefix("file://")) / "data"
+    assert users.sql("GC MVCC").affected == 2
+    assert len(list(data.iterdir())) == 1
+    assert got(users, "SELECT COUNT(*) FROM users") == [(4,)]
+
+
+def test_import_of_frames(db, spark):
+    from quarry.sources.importer import import_tables
+
+    assert import_tables(db, {"n": spark.range(5).withColumnRenamed("id", "k")}) == 5
+    assert got(db, "SELECT SUM(k) FROM n") == [(10,)]
