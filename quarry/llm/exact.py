@@ -75,4 +75,5 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", hash_bits:
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with the columns of docs."""
-    return decide(docs, key, text).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    decided = decide(docs, key, text).where("kept and group_size > 0")  # all that decide() makes of a group: its exchange is shared
+    return decided.select(*(F.col(f"`{c}`") for c in docs.columns))
