@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.operators import relational as r
 from quarry.session import Session
 from quarry.streaming import windows
 
@@ -169,6 +170,48 @@ QUERIES: dict[str, Query] = {
     "information_columns": Query("CREATE TABLE t (a INT PRIMARY KEY, b VARCHAR(9)); SELECT COLUMN_NAME AS name, DATA_TYPE AS kind, COLUMN_KEY AS mark FROM information_schema.columns WHERE TABLE_NAME = 't'", "SELECT 'a' AS name, 'int' AS kind, 'PRI' AS mark UNION ALL SELECT 'b', 'varchar', ''"),
 }
 
+
+
+def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {t: r.scan(spark, f"{sf_dir}/{t}.parquet") for t in TABLES}
+
+
+def api_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = frames(spark, sf_dir)
+    rows = r.join(r.keep(t["orders"], "o_totalprice > 1000"), t["customer"], "o_custkey = c_custkey")
+    return r.top(r.aggregate(rows, ["c_mktsegment"], n="count(1)", total="round(sum(o_totalprice), 2)"), 3, "total DESC", "c_mktsegment")
+
+
+def api_distinct_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames(spark, sf_dir)["customer"]
+    spelled = r.project(rows, k="c_custkey", segment="CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END")
+    return r.distinct_first(spelled, ["segment"], "k")
+
+
+def api_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.first_match(r.project(frames(spark, sf_dir)["orders"], customer="o_custkey", key="o_orderkey", price="o_totalprice"), ["customer"], "key")
+
+
+def api_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = frames(spark, sf_dir)
+    counts = [r.aggregate(r.join(t["customer"], t["orders"], "o_custkey = c_custkey AND o_totalprice > 200000", how), [], how=f"'{how}'", n="count(1)") for how in ("inner", "left", "right", "full", "left_semi", "left_anti")]
+    return r.union(*counts, r.aggregate(r.join(t["region"], t["nation"], "", "cross"), [], how="'cross'", n="count(1)"))
+
+
+def api_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = r.windowed(frames(spark, sf_dir)["part"], ["p_brand"], ["p_size DESC", "p_partkey"], place="row_number()", running="sum(p_size)")
+    return r.page(r.ordered(found.select("p_partkey", "place", "running"), "p_partkey"), 50, 10)
+
+
+_KINDS = "SELECT '{}' AS how, COUNT(*) AS n FROM customer {} JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000"
+FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "api_pipeline": (api_pipeline, "SELECT c_mktsegment, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY 1 ORDER BY total DESC, 1 LIMIT 3"),
+    "api_distinct_first": (api_distinct_first, "SELECT MIN(c_custkey) AS k, arg_min(CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END, c_custkey) AS segment FROM customer GROUP BY lower(c_mktsegment)"),
+    "api_first_match": (api_first_match, "SELECT o_custkey AS customer, MIN(o_orderkey) AS key, arg_min(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1"),
+    "api_joins": (api_joins, " UNION ALL ".join(_KINDS.format(a, b) for a, b in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL"), ("left_semi", "SEMI"), ("left_anti", "ANTI"))) + " UNION ALL SELECT 'cross', COUNT(*) FROM region, nation"),
+    "api_windows": (api_windows, "SELECT p_partkey, row_number() OVER w AS place, CAST(SUM(p_size) OVER w AS BIGINT) AS running FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) ORDER BY p_partkey LIMIT 50 OFFSET 10"),
+}
+
 #: Event-time operations, beyond what the dialect has.
 WINDOWS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "events_tumbling": (windows.tumbling, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events GROUP BY 1, 2"),
@@ -186,8 +229,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**QUERIES, **{k: q for k, (q, _) in WINDOWS.items()}}
+    return {**QUERIES, **{k: q for k, (q, _) in {**FRAMES, **WINDOWS}.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{k: q.oracle or q.sql for k, q in QUERIES.items()}, **{k: sql for k, (_, sql) in WINDOWS.items()}}
+    return {**{k: q.oracle or q.sql for k, q in QUERIES.items()}, **{k: sql for k, (_, sql) in {**FRAMES, **WINDOWS}.items()}}

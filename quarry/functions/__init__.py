@@ -1 +1 @@
-"""Part of quarry."""
+"""Functions with MySQL's semantics."""

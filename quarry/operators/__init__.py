@@ -1 +1 @@
-"""Part of quarry."""
+"""Changes to tables, and the relational operators on DataFrames."""

@@ -1 +1 @@
-"""Part of quarry."""
+"""From statements to plans."""

@@ -1 +1 @@
-"""Part of quarry."""
+"""Where tables come from: versioned Parquet, other databases."""

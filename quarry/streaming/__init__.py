@@ -1 +1 @@
-"""Part of quarry."""
+"""Event-time windows over tables and streams."""
