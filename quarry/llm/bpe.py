@@ -7,8 +7,8 @@ and the lists of the pairs to the left and right of each position are updated. A
 enters the index under its own rank. So a merge that no text needs costs nothing, and one that many words need is
 looked up once.
 
-Encoded words, with what clings to them, are kept in a bounded memory (``MEMORY`` entries; cleared when full), which lasts as long as the Python
-worker. Texts are handled whole, one after another; nothing else grows with the input.
+Encoded words, with what clings to them, are kept in a bounded memory (``MEMORY`` entries; the later half goes when it is full), which lasts as long as the
+Python worker. Texts are handled whole, one after another; nothing else grows with the input.
 
 Defined results: null and empty texts have no tokens and decode to the empty text. Special tokens that stand in a text
 are single ids, as the library reads them.
@@ -22,6 +22,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import tidy
+
 #: Words whose encoding a worker remembers, and the longest word that it remembers.
-MEMORY, LONGEST = 800_000, 40
+MEMORY, LONGEST = 400_000, 40
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 #: What plain Latin letters, digits and punctuation don't reach.
@@ -176,8 +179,8 @@ class Encoder:
         for c in {*words, *fresh}:
             if len(c) > LONGEST:
                 del known[c]
-        if len(known) > self.memory:
-            known.clear()
+        if len(known) > self.memory:  # what came first is what comes often
+            self.known = dict(islice(known.items(), self.memory // 2))
         return out
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
@@ -227,7 +230,7 @@ def encoder(path: str, library: bool = False) -> Encoder:
 
 
 #: Characters of text whose words are laid out in one symbol sequence, or a single text if it is longer.
-RUN_CHARS = 4_000_000
+RUN_CHARS = 1_000_000
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str | None]]]:
@@ -265,4 +268,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 text_hash.append(hashlib.sha256(e.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], schema=ROUND_TRIP)
 
-    return docs.mapInArrow(work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(tidy(work), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

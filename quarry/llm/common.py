@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -103,21 +104,24 @@ class Tables:
             pass
 
 
-def pieces(batches: Iterator[pa.RecordBatch], schema: pa.Schema, rows: Iterator[tuple], size: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Row tuples gathered into Arrow batches."""
-    held: list[tuple] = []
-    for r in rows:
-        held.append(r)
-        if len(held) >= size:
-            yield to_batch(held, schema)
-            held = []
-    if held:
-        yield to_batch(held, schema)
+def trim() -> None:
+    """Give what a task no longer needs back to the system: Python workers live on beside Spark's executor and the next stage."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
-def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work, and trim() at the end of each task."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
 
 
 def crc32_of(column: str):

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc32_of
+from quarry.llm.common import crc32_of, tidy
 
 BUCKETS = 1 << 13
 FIT_ROWS, MOST_LANGUAGES = 4000, 200
@@ -128,7 +128,7 @@ def learn(docs: DataFrame) -> Model:
     if not found:
         return Model([], np.zeros((0, 0)), np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros((0, 0)))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < chance * (1 << 30)).select("doc_id", "text", "lang")
-    got = sorted(chosen.mapInArrow(work, "doc_id bigint, lang string, places binary, n binary").toLocalIterator(), key=lambda r: (r["doc_id"], r["lang"], r["places"]))
+    got = sorted(chosen.mapInArrow(tidy(work), "doc_id bigint, lang string, places binary, n binary").toLocalIterator(), key=lambda r: (r["doc_id"], r["lang"], r["places"]))
     got = got[: 2 * FIT_ROWS]
     x = np.zeros((len(got), BUCKETS), np.float32)
     for k, r in enumerate(got):
@@ -148,4 +148,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = [model.predict(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), list(schema)[1:], strict=True))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id bigint, lang_pred string, score double, ambiguous boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), "doc_id bigint, lang_pred string, score double, ambiguous boolean")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import Vocabulary, default_path, encoder, runs
-from quarry.llm.common import Tables
+from quarry.llm.common import Tables, tidy
 
 LENGTH, END = 4096, 2
 WIDTH, DIMS, BITS, SEED = 256, 3, 16, 7
@@ -97,7 +97,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
                 held.append(np.append(ids, end).astype(width).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(curve.keys(vectors)), pa.array(held, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(work, "doc_id bigint, place bigint, ids binary")
+    return docs.mapInArrow(tidy(work), "doc_id bigint, place bigint, ids binary")
 
 
 def cut(docs: Iterator[tuple[int | None, bytes]], first: int, length: int = LENGTH) -> Iterator[tuple]:
@@ -152,4 +152,4 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=PIECE)
 
     ranged = held.repartitionByRange(F.col("place"), F.col("doc_id")).sortWithinPartitions("place", "doc_id")
-    return ranged.select("doc_id", "ids").mapInArrow(work, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return ranged.select("doc_id", "ids").mapInArrow(tidy(work), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

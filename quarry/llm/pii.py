@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import tidy
+
 KEY = b"quarry surrogates"
 ROUNDS = 8
 #: Names that may be keyed anew at most: each executor gets the list. More would mean that names are too short.
@@ -218,7 +220,7 @@ def clashes(docs: DataFrame, key: bytes = KEY) -> dict[tuple[str, str, bool], in
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*sorted(rows), strict=True), schema, strict=True)], schema=schema)
 
-    words = docs.select("text").mapInArrow(work, "word string, gender string, given boolean, surrogate string").distinct()
+    words = docs.select("text").mapInArrow(tidy(work), "word string, gender string, given boolean, surrogate string").distinct()
     shared = words.groupBy("given", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(F.struct("word", "gender"))).alias("words")).where("n > 1").limit(MOST_CLASHES + 1).collect()
     if len(shared) > MOST_CLASHES:
         raise RuntimeError("too many names share a surrogate")
@@ -241,4 +243,4 @@ def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 spans.append(",".join(f"{kind}:{s}:{e}" for s, e, kind in found))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(spans, pa.string())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id bigint, text string, n_entities bigint, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), "doc_id bigint, text string, n_entities bigint, spans string")

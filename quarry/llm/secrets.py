@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import tidy, trim
+
 KINDS = ("assign", "access", "hex", "random")
 SHORTEST, REJECT, FALSE_SHARE = 20, 0.001, 0.01
 
@@ -170,7 +172,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 told.append(shown(whole))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(told, pa.string())], schema=schema)
 
-    return docs.mapInArrow(work, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return docs.mapInArrow(tidy(work), "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def redacted(text: str, found: list[tuple[int, int, str]], mark: str = "[SECRET]") -> str:
@@ -189,5 +191,6 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, scanned(F.col(f"`{text}`")))
 
 
-def _redact(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: redacted(t, spans(t)[1]) if t else t)
+def _redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    yield from (b.map(lambda t: redacted(t, spans(t)[1]) if t else t) for b in batches)
+    trim()

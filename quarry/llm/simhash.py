@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Tables, fresh
+from quarry.llm.common import fresh, Tables, tidy
 from quarry.llm.graph import components
 
 FANOUT, SMALL = 16, 32
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1) -> DataFrame:
             found = np.array([lanes_of(t.as_py(), shingle, lanes) for t in b.column(1)], np.uint64).reshape(-1, lanes)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, k].view(np.int64) if lanes == 1 else found[:, k].copy().view(np.int64)) for k in range(lanes))], schema=schema)
 
-    return docs.mapInArrow(work, ", ".join(["doc_id bigint", *(f"{n} bigint" for n in names(lanes))]))
+    return docs.mapInArrow(tidy(work), ", ".join(["doc_id bigint", *(f"{n} bigint" for n in names(lanes))]))
 
 
 def exact_masks(bits: int, distance: int, bands: int = 8) -> list[int]:
@@ -296,7 +296,7 @@ def search(rows: DataFrame, lanes: int, distance: int) -> DataFrame:
 
     fs = names(lanes)
     ordered = rows.repartition("node").sortWithinPartitions("node", "gray", *fs)
-    return ordered.select("node", "rep", *fs).mapInArrow(work, "a bigint, b bigint")
+    return ordered.select("node", "rep", *fs).mapInArrow(tidy(work), "a bigint, b bigint")
 
 
 def verified(links: DataFrame, classes: DataFrame, lanes: int, distance: int) -> DataFrame:

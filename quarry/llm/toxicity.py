@@ -24,11 +24,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc32_of
+from quarry.llm.common import crc32_of, tidy, trim
 
 BUCKETS = 1 << 20
 POSITIVE, NEGATIVE = 2500, 5000
@@ -80,7 +81,7 @@ class Model:
                     found.update(p)
             m = self.margin(np.array(sorted(found), np.int64))
             out.append(1 / (1 + math.exp(-m)) if m > -500 else 0.0)
-            if len(known) > 300_000:
+            if len(known) > 200_000:
                 known.clear()
         return out
 
@@ -112,7 +113,7 @@ def collected(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
                 found.append(np.unique(np.array([x for w in words for x in term_ids(w)], np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], schema=schema)
 
-    got = {r["doc_id"]: (np.frombuffer(bytes(r["terms"]), np.uint32), r["y"]) for r in rows.mapInArrow(work, "doc_id bigint, y int, terms binary").toLocalIterator()}
+    got = {r["doc_id"]: (np.frombuffer(bytes(r["terms"]), np.uint32), r["y"]) for r in rows.mapInArrow(tidy(work), "doc_id bigint, y int, terms binary").toLocalIterator()}
     ordered = [got[k] for k in sorted(got)]
     return [t for t, _ in ordered], np.array([y for _, y in ordered], np.float64)
 
@@ -170,19 +171,16 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1).to_pylist(), known), pa.float64())], schema=schema)
 
-    return docs.select("doc_id", text).mapInArrow(work, "doc_id bigint, score double")
+    return docs.select("doc_id", text).mapInArrow(tidy(work), "doc_id bigint, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs that the model doesn't call toxic, all columns."""
-    import pandas as pd
 
-    known: dict[str, tuple[int, ...]] = {}
-
-    def clean(texts: pd.Series) -> pd.Series:
-        if model.place is None:
-            model.prepared()
-        return pd.Series([s < 0.5 for s in model.scores(texts.tolist(), known)], dtype=bool)
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = model.prepared()
+        yield from (pd.Series([s < 0.5 for s in model.scores(b.tolist(), known)], dtype=bool) for b in batches)
+        trim()
 
-    clean.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    clean.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.where(F.pandas_udf(clean, "boolean")(F.col(f"`{text}`")))

@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import tidy
+
 CHUNK = 64 * 1024
 DATE = "2000-01-01T00:00:00Z"
 #: An empty gzip member.
@@ -127,7 +129,7 @@ def write(pages: DataFrame, path: str, chunk: int = CHUNK, least: int = 0) -> No
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([m for _, m in out], pa.binary())], schema=schema)
 
-    made = with_first(pages, least).mapInArrow(work, "segmented int, member binary")
+    made = with_first(pages, least).mapInArrow(tidy(work), "segmented int, member binary")
     made.select("segmented", F.col("member").cast("string").alias("value")).write.partitionBy("segmented").option("encoding", "ISO-8859-1").option("lineSep", SEPARATOR.decode("latin-1")).text(path)
 
 
@@ -210,10 +212,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of each record below path."""
     found = []
     if (members := _members(spark, path, 0)) is not None:
-        found.append(members.mapInArrow(whole, _RESULT_SQL))
+        found.append(members.mapInArrow(tidy(whole), _RESULT_SQL))
     if (members := _members(spark, path, 1)) is not None:
-        parts = members.mapInArrow(numbered, "record string, number bigint, member binary")
-        found.append(parts.repartition("record").sortWithinPartitions("record", "number").mapInArrow(joined, _RESULT_SQL))
+        parts = members.mapInArrow(tidy(numbered), "record string, number bigint, member binary")
+        found.append(parts.repartition("record").sortWithinPartitions("record", "number").mapInArrow(tidy(joined), _RESULT_SQL))
     if not found:
         return spark.createDataFrame([], _RESULT_SQL)
     return found[0].unionByName(found[1]) if len(found) > 1 else found[0]
