@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import io
-import os
 import tempfile
 import uuid
 import zipfile
@@ -52,9 +51,11 @@ def prepare(spark: SparkSession) -> None:
     with zipfile.ZipFile(held, "w") as z:
         for f in sorted((root / "quarry").rglob("*.py")):
             z.write(f, f.relative_to(root))
-    folder = tempfile.mkdtemp(prefix="quarry-ship-")
-    name = os.path.join(folder, "quarry_package.zip")
-    Path(name).write_bytes(held.getvalue())
+    name = f"{shared_dir(spark)}/quarry-package-{uuid.uuid4().hex}.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    stream.write(bytearray(held.getvalue()))
+    stream.close()
     context.addPyFile(name)
     context._quarry_shipped = True
 
