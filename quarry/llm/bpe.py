@@ -38,6 +38,8 @@ MEMORY, LONGEST = 400_000, 40
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 #: What plain Latin letters, digits and punctuation don't reach.
 _BEYOND = re.compile("[^\x00-\u024f]")
+#: Marks that a word alone may have behind it.
+_STOPS = frozenset(".,;:!?")
 
 
 def default_path() -> str:
@@ -161,7 +163,13 @@ class Encoder:
 
     def split(self, chunk: str) -> list[str]:
         """The words of a chunk; beyond plain Latin letters as the library tells letters and numbers."""
-        if chunk.isascii() or not _BEYOND.search(chunk):
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk]
+            if chunk[-1:] in _STOPS and chunk[:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
+            return _WORD.findall(chunk)
+        if not _BEYOND.search(chunk):
             return _WORD.findall(chunk)
         return [chunk[s:e] for _, (s, e) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
@@ -176,9 +184,10 @@ class Encoder:
             if c not in known:
                 known[c] = b"".join(map(get, ws))
         out = [get(c) for c in distinct]
-        for c in {*words, *fresh}:
-            if len(c) > LONGEST:
-                del known[c]
+        for c in [c for c in words if len(c) > LONGEST]:
+            for w in (c, *words[c]):
+                if len(w) > LONGEST:
+                    known.pop(w, None)
         if len(known) > self.memory:  # what came first is what comes often
             self.known = dict(islice(known.items(), self.memory // 2))
         return out
