@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quarry.llm import embeddings, exact, graph, registry, simhash, warc
 from quarry.llm.common import Tables, need
@@ -199,6 +200,33 @@ def test_op4_recall(ready):
     assert (found <= want).all() and found.sum() >= 0.9 * want.sum() > 500
 
 
+def test_op4_recall_in_a_hot_cone(ready):
+    """A third of the rows crowd round one direction (mutual cosine 0.7) and fill few codes: pairs there are found as well."""
+    rng = np.random.default_rng(31)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((6000, 64)))
+    mean = unit(rng.standard_normal((1, 64)))
+    x[:2000] = unit(0.7**0.5 * mean + 0.3**0.5 * x[:2000])
+    away = rng.standard_normal((200, 64))
+    away = unit(away - (away * x[:200]).sum(1, keepdims=True) * x[:200])
+    x[200:400] = 0.902 * x[:200] + (1 - 0.902**2) ** 0.5 * away  # pairs just within the limit
+    df = ready.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    known = embeddings.prepared(df).select(F.col("vec_id").alias("rep"), "hash", "dims", "raw")
+    links = embeddings.bucket_search(Tables(ready, "t"), known, {64: 6}, block=300)
+    found = {r["node"]: r["component"] for r in graph.components(Tables(ready, "t"), links).collect()}
+    assert sum(found.get(k, -1) == found.get(k + 200, -2) for k in range(200)) >= 190
+    whole = {r["vec_id"]: r["component_id"] for r in embeddings.near_groups(df, window=4).collect()}
+    assert sum(whole[k] == whole[k + 200] for k in range(200)) >= 190
+
+
+def test_op4_codes_follow_the_measured_fill():
+    rng = np.random.default_rng(32)
+    even = rng.standard_normal((2000, 64))
+    assert embeddings.bits_for(1_000_000, even) > 8
+    assert embeddings.bits_for(1_000_000, even * 0.01 + rng.standard_normal((1, 64))) == 0  # no code parts them
+    assert embeddings.passes(0) == 1
+
+
 def test_op4_query(ready):
     rows = [(r["vec_id"], r["embedding"]) for r in ready.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     assert sorted(map(tuple, registry.op4_embedding_near_dedup(ready, SMALL).collect())) == plain_vectors(rows, 0.9)
