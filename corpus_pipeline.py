@@ -28,7 +28,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: shingles of five words, at least 0.8 of the fingerprint's bits equal."""
+    """One document of each group of near copies stays: shingles of five words, an exact Jaccard similarity of at least 0.8."""
     prepare(spark)
     return simhash.keep_one(docs)
 

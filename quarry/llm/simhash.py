@@ -343,14 +343,15 @@ def jaccard_bits(similarity: float, bits: int, slack: float = 1.3) -> int:
     return math.floor(odds * bits + slack * math.sqrt(bits * odds * (1 - odds)))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, lanes: int = 4, more: int = 12) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies (that of the smallest id; rows without an id stay), with the columns of docs.
 
-    Near are texts whose shingles of five words have a Jaccard similarity of at least 0.8 as estimated from 1,024 bits
-    (standard error 0.03); candidates agree in 256 of them well enough.
+    Near are texts whose sets of shingles have a Jaccard similarity of at least 0.8, exactly: see jaccard.groups.
     """
+    from quarry.llm import jaccard  # which needs hashes() from here
+
     narrow = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     (name,) = fresh(docs, "gone")
-    found = groups(narrow, shingle, lanes, jaccard_bits(similarity, 64 * lanes, 2.2), "sampled", more=more, verify=jaccard_bits(similarity, 64 * (lanes + more)))
+    found = jaccard.groups(narrow, shingle, similarity)
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, F.col(f"`{key}`") == F.col(name), "left_anti")

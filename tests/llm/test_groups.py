@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarry.llm import embeddings, exact, graph, registry, simhash, warc
+from quarry.llm import embeddings, exact, graph, jaccard, registry, simhash, warc
 from quarry.llm.common import Tables, need
 from tests.conftest import SMALL
 
@@ -156,6 +156,36 @@ def test_near_copies_go_and_clean_texts_stay(ready, odd):
     assert {r["doc_id"] for r in out.collect()} == {None, 1, 4, 7, 9, 10, 11, 12}
 
 
+def plain_near_copies(rows, similarity=0.8):
+    sets = [frozenset(simhash.hashes(t, 5).tolist()) for _, t in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9]
+    root = plain_components(pairs, range(len(rows)))
+    return {rows[k][0]: rows[r][0] for k, r in root.items()}
+
+
+def near_copies(ready, rows, **more):
+    return {r["doc_id"]: r["component_id"] for r in jaccard.groups(ready.createDataFrame(rows, "doc_id bigint, text string").repartition(3), **more).collect()}
+
+
+def made_words(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("more", [{}, {"block": 7, "hot_over": 3}])
+def test_near_copies_in_a_family_with_shared_boilerplate(ready, more):
+    """Pairs of 0.82 in a family of 0.65: links that fail must not take the true ones along."""
+    rng = random.Random(21)
+    shared = made_words(rng, 300)
+    rows = []
+    for k in range(60):
+        own = made_words(rng, 75)
+        other = own[:40] + made_words(rng, 35)
+        rows += [(2 * k, " ".join(shared + own)), (2 * k + 1, " ".join(shared + other))]
+    want = plain_near_copies(rows)
+    assert sum(want[2 * k] == want[2 * k + 1] for k in range(60)) == 60 and len(set(want.values())) == 60
+    assert near_copies(ready, rows, **more) == want
+
+
 def plain_vectors(rows, limit):
     x = {k: np.array(v, float) for k, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)}
     near = [(a, b) for a in x for b in x if b < a and len(x[a]) == len(x[b]) and x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b]) >= limit]
