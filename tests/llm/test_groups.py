@@ -186,6 +186,18 @@ def test_near_copies_in_a_family_with_shared_boilerplate(ready, more):
     assert near_copies(ready, rows, **more) == want
 
 
+def test_a_repeated_line_makes_no_near_copies(ready):
+    """14 words repeated 10 to 40 times outweigh 50 to 200 own shingles in hashes with repeats, not in sets."""
+    rng = random.Random(22)
+    rows = []
+    for k in range(40):
+        line = made_words(rng, 14) * rng.randrange(10, 41)
+        rows += [(2 * k + j, " ".join(line + made_words(rng, rng.randrange(50, 201)))) for j in (0, 1)]
+    assert near_copies(ready, rows) == {k: k for k in range(80)}
+    kept = simhash.keep_one(ready.createDataFrame(rows, "doc_id bigint, text string"))
+    assert kept.count() == 80
+
+
 def plain_vectors(rows, limit):
     x = {k: np.array(v, float) for k, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)}
     near = [(a, b) for a in x for b in x if b < a and len(x[a]) == len(x[b]) and x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b]) >= limit]
