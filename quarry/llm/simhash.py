@@ -6,8 +6,6 @@
 * Upper nodes of the index are masked bit patterns that fingerprints share. With ``exact_masks`` the bits are parted
   into bands, and a mask leaves out as many bands as bits may differ: two fingerprints that near always share a
   node, so no link is lost, and a node has at most two to the power of the bits left out members.
-  With ``sampled_masks``, for larger distances, masks are random sets of bits, so many that a pair at the limit shares
-  a node with a stated probability.
 * In a node, members are sorted by Gray rank. Groups of ``FANOUT`` neighbours have a pattern: the bits they agree on,
   and their values; groups of groups likewise. Two groups are compared only if the differences accumulated in the bits
   that both agree on are within the distance.
@@ -22,7 +20,6 @@ has one. Repeated rows share their group. Empty table: empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -105,15 +102,6 @@ def exact_masks(bits: int, distance: int, bands: int = 8) -> list[int]:
     return [full & ~sum(((1 << width) - 1) << (width * k) for k in out) for out in combinations(range(bands), distance)]
 
 
-def sampled_masks(bits: int, distance: int, rows: int, recall: float = 0.95, odds: float = 0.15, seed: int = 11) -> list[int]:
-    """Random masks of so many bits that unrelated fingerprints seldom share a node, and so many of them that two which
-    differ in ``odds`` of their bits (those of texts of similarity 0.8 differ in 0.15) share a node with probability recall."""
-    size = max(10, math.ceil(math.log2(max(2, rows))) - 3)
-    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - odds) ** size))
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(k) for k in rng.choice(bits, size, replace=False)) for _ in range(count)]
-
-
 def gray_rank(f: np.ndarray) -> np.ndarray:
     """The place of each 64-bit number in the order of Gray codes."""
     out = f.copy()
@@ -299,32 +287,14 @@ def search(rows: DataFrame, lanes: int, distance: int) -> DataFrame:
     return ordered.select("node", "rep", *fs).mapInArrow(tidy(work), "a bigint, b bigint")
 
 
-def verified(links: DataFrame, classes: DataFrame, lanes: int, distance: int) -> DataFrame:
-    """The links whose representatives' whole fingerprints differ in at most ``distance`` bits."""
-    fs = names(lanes)
-    for end in ("a", "b"):
-        links = links.join(classes.select(F.col("rep").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in fs)), end)
-    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in fs), F.lit(0))
-    return links.where(apart <= distance).select("a", "b")
-
-
-def groups(docs: DataFrame, shingle: int = 5, lanes: int = 1, distance: int = 2, masks: str = "exact", block: int = BLOCK, more: int = 0, verify: int = 0) -> DataFrame:
-    """doc_id, the fingerprint (f0, f1, ...) and component_id of each row of docs (columns doc_id and text).
-
-    The index works on ``lanes`` lanes; with ``more`` further ones a link must also differ in at most ``verify`` bits of all.
-    """
+def groups(docs: DataFrame, shingle: int = 5, lanes: int = 1, distance: int = 2) -> DataFrame:
+    """doc_id, the fingerprint (f0, f1, ...) and component_id of each row of docs (columns doc_id and text)."""
     tables = Tables(docs.sparkSession, "simhash")
-    fs = names(lanes + more)
-    prints = tables.keep(fingerprints(docs, shingle, lanes + more), "fingerprints")
+    fs = names(lanes)
+    prints = tables.keep(fingerprints(docs, shingle, lanes), "fingerprints")
     classes = tables.keep(prints.groupBy(*fs).agg(F.min("doc_id").alias("rep")), "classes")
     known = classes.where("rep is not null")
-    patterns = exact_masks(64 * lanes, distance) if masks == "exact" else sampled_masks(64 * lanes, distance, known.count())
-    rows = node_rows(known.select("rep", *names(lanes)), patterns, lanes)
-    if masks != "exact":
-        rows = split_nodes(tables, rows, block)
-    links = search(rows, lanes, distance)
-    if more:
-        links = verified(tables.keep(links.distinct(), "found"), known, lanes + more, verify)
+    links = search(node_rows(known.select("rep", *fs), exact_masks(64 * lanes, distance), lanes), lanes, distance)
     joined = components(tables, links)
     named = classes.join(joined, classes["rep"] == joined["node"], "left").select(*fs, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, fs)
@@ -334,15 +304,6 @@ def hex_fingerprint(column):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def jaccard_bits(similarity: float, bits: int, slack: float = 1.3) -> int:
-    """How many of the bits may differ for sets of this Jaccard similarity, and ``slack`` standard deviations more.
-
-    Sets of one size with similarity J have the cosine 2J/(1+J); a bit differs with the angle's share of pi.
-    """
-    odds = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(odds * bits + slack * math.sqrt(bits * odds * (1 - odds)))
-
-
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies (that of the smallest id; rows without an id stay), with the columns of docs.
 

@@ -198,6 +198,30 @@ def test_a_repeated_line_makes_no_near_copies(ready):
     assert kept.count() == 80
 
 
+def test_short_near_copies_are_found(ready):
+    """4 of 5, 5 of 6, 6 of 7 and 12 of 15 shingles, and texts just below the similarity."""
+    rng = random.Random(23)
+    rows = []
+    for k in range(60):
+        for n, more in ((8, 1), (9, 1), (10, 1), (16, 3), (7, 1), (15, 3)):  # the last two: 3 of 4 and 11 of 14
+            text = made_words(rng, n + more)
+            rows += [(len(rows), " ".join(text[:n])), (len(rows) + 1, " ".join(text))]
+    want = plain_near_copies(rows)
+    found = near_copies(ready, rows)
+    far = [k for k in range(0, len(rows), 2) if want[k] != want[k + 1]]
+    assert len(far) == 120 and all(found[k] == want[k] and found[k + 1] == want[k + 1] for k in range(0, len(rows), 2) if k not in far)
+    assert all(found[k] == k and found[k + 1] == k + 1 for k in far)
+
+
+def test_near_copies_of_a_whole_table(ready):
+    """As by brute force over sets, but for the pairs of repetitive texts that one word tells apart."""
+    rows = [tuple(r) for r in ready.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    sets = {i: jaccard.shingle_set(t, 5)[1:] for i, t in rows}
+    ids = sorted(sets)
+    root = plain_components([(a, b) for a in ids for b in ids if a < b and jaccard.near(sets[a], sets[b], 0.8, 5)], ids)
+    assert near_copies(ready, rows, hot_over=2, block=20) == root
+
+
 def plain_vectors(rows, limit):
     x = {k: np.array(v, float) for k, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)}
     near = [(a, b) for a in x for b in x if b < a and len(x[a]) == len(x[b]) and x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b]) >= limit]
