@@ -3,8 +3,12 @@
 Base kinds, leftmost and non-overlapping for each kind: ``assign`` (a name such as password or api_key, then a value of
 8 or more characters), ``access`` (AKIA and more capitals and digits, 16 or more), ``hex`` (32 or more digits 0-9a-f).
 
-The battery adds kind ``random``. Candidates are runs of ``[A-Za-z0-9+/_=-]`` of ``SHORTEST`` or more characters. For
-each the encoding is inferred, the smallest of the known alphabets that has all its characters. Two things are asked:
+The battery adds kind ``random``. Candidates come from runs of ``[A-Za-z0-9+/_=-]``: their parts between ``=`` (which
+counts as padding at the end of a run), of ``SHORTEST`` or more characters. For each the encoding is inferred, the
+smallest of the known alphabets that has all its characters; where none has, the pieces between ``+`` and ``/`` and those
+between ``-`` and ``_`` are candidates. Words of one case joined by ``_`` before a ``=`` are names and no candidates.
+Decimal digits alone are none either: a long number (an identifier, a time, a measurement) is as even as a drawn key,
+and no text either, so both tests would call every such number a secret. Two things are asked:
 
 * Does it look drawn at random from that alphabet? Chi-squared of the alphabet's uniformity (symbols in as many bins as
   the length can bear), the runs above and below the alphabet's middle, and the serial correlation of neighbours. The
@@ -41,6 +45,8 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # runs are whole: a match starts where the run does
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+_NAME = re.compile(r"[A-Z]+(_+[A-Z]+)+|[a-z]+(_+[a-z]+)+")
+_PART, _PIECES = re.compile(r"[^=]+"), (re.compile(r"[^+/]+"), re.compile(r"[^_-]+"))
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
@@ -78,7 +84,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def infer(run: str) -> tuple[str, dict[str, int]] | None:
-    there = set(run.rstrip("="))
+    there = set(run)
     return next(((name, place) for name, letters, place in _SETS if there <= letters), None)
 
 
@@ -117,30 +123,40 @@ def battery(places: list[int], k: int) -> tuple[float, float, float]:
     return uniform, runs, serial
 
 
+def candidates(text: str) -> Iterator[tuple[int, int, int, dict[str, int] | None]]:
+    """(start, end, end with padding, alphabet or None) of what the battery is to test; pieces may overlap."""
+    for m in _RUN.finditer(text):
+        last = m.start() + len(m[0].rstrip("="))
+        for part in _PART.finditer(text, m.start(), last):
+            s, e = part.span()
+            if e - s < SHORTEST or (e < last and _NAME.fullmatch(part[0])):
+                continue
+            found = [(s, e)] if infer(part[0]) else [p.span() for pieces in _PIECES for p in pieces.finditer(text, s, e) if len(p[0]) >= SHORTEST]
+            for x, y in found:
+                known = infer(text[x:y])
+                yield x, y, m.end() if y == last else y, known[1] if known and known[0] != "decimal" else None
+
+
 def random_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of runs that are random rather than text."""
+    """(start, end, kind) of candidates that are random rather than text; those that overlap are one."""
     if max(map(len, text.split()), default=0) < SHORTEST:
         return []
     tried = []
-    for m in _RUN.finditer(text):
-        run = m[0].rstrip("=")
-        known = infer(run)
-        if len(run) < SHORTEST or not known or known[0] == "decimal":
-            tried.append((1.0, m, None))
-            continue
-        k = len(known[1])
-        ratio = -len(run) * math.log(k) - sum(map(_TEXT.__getitem__, run))
-        tried.append((math.exp(-ratio) if ratio > 0 else 1.0, m, known[1]))
+    for s, e, padded, place in candidates(text):
+        run = text[s:e]
+        ratio = -len(run) * math.log(len(place)) - sum(map(_TEXT.__getitem__, run)) if place else 0.0
+        tried.append((math.exp(-ratio) if ratio > 0 else 1.0, s, e, padded, place))
     tried.sort(key=lambda x: x[0])
     found = 0
-    for k, (p, _, _) in enumerate(tried, 1):
+    for k, (p, *_) in enumerate(tried, 1):
         if p <= FALSE_SHARE * k / len(tried):
             found = k
-    out = []
-    for _, m, place in tried[:found]:
-        run = m[0].rstrip("=")
-        if place and 3 * min(battery([place[c] for c in run], len(place))) > REJECT:
-            out.append((*m.span(), "random"))
+    out: list[tuple[int, int, str]] = []
+    taken = [(s, padded) for _, s, e, padded, place in tried[:found] if place and 3 * min(battery([place[c] for c in text[s:e]], len(place))) > REJECT]
+    for s, e in sorted(taken):
+        if out and s < out[-1][1]:
+            s, e = out[-1][0], max(e, out.pop()[1])
+        out.append((s, e, "random"))
     return out
 
 

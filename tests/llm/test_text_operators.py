@@ -165,6 +165,26 @@ def test_random_strings_are_told_from_text():
     assert secrets.random_spans("x " * 10 + keys[0])[0][:2] == (20, 60)
 
 
+def test_secrets_beside_other_characters_of_a_run():
+    """Values after '=' and tokens in runs that no alphabet holds whole are tested on their own."""
+    import random
+
+    rng = random.Random(7)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    drawn = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    for before, letters, after in (("AWS_SECRET_ACCESS_KEY=", b64, ""), ("sig=", b64, "=="), ("KEY=", b64[:62], "=x"), ("path_x/", b64[:62], ""), ("id-", b64[:62] + "++//", ""), ("a+b/", b64[:62] + "-_-_", ""), ("=", b64, "")):
+        caught = 0
+        for _ in range(100):
+            text = f"see {before}{(key := drawn(40, letters))}{after} here"
+            at = text.index(key)
+            caught += any(s <= at + 2 and at + 38 <= e for s, e, _ in secrets.random_spans(text))
+        assert caught >= 90, before
+    text = "x AWS_SECRET_ACCESS_KEY=" + "wJalrXUtnFEMIK7MDENGbPxRfiCYzq5TgH2vLs9a" + " y"
+    assert secrets.redacted(text, secrets.spans(text)[1]) == "x AWS_SECRET_ACCESS_KEY=[SECRET] y"
+    for clean in ("some/long_path/to-a/file_of/some-where/else", "name=internationalization", "a=b=c=d=e=f=g=h=i=j=k=l", "key=12345678901234567890123"):
+        assert secrets.random_spans(f"a {clean} b") == []
+
+
 def test_redaction(odd):
     found = {r["doc_id"]: r["text"] for r in secrets.redact(odd).collect()}
     assert found[9] == "[SECRET] [SECRET]"
