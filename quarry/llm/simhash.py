@@ -20,7 +20,7 @@ has one. Repeated rows share their group. Empty table: empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -193,8 +193,11 @@ def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray
     return np.concatenate([none, *first]), np.concatenate([none, *second]), label
 
 
-def links_of_nodes(node: np.ndarray, rep: np.ndarray, f: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (pairs of representatives that are near) of rows sorted by node and Gray rank; whole nodes only."""
+def links_of_nodes(node: np.ndarray, rep: np.ndarray, f: np.ndarray, distance: int, fits: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (pairs of representatives that are near) of rows sorted by node and Gray rank; whole nodes only.
+
+    fits: what two rows (arrays of their places) must fulfil besides.
+    """
     n = len(node)
     starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     sizes = np.diff(np.append(starts, n))
@@ -208,6 +211,8 @@ def links_of_nodes(node: np.ndarray, rep: np.ndarray, f: np.ndarray, distance: i
             break
         apart = np.bitwise_count(f[i] ^ f[i + lag]).sum(1, dtype=np.int64)
         near = apart <= distance
+        if fits:
+            near &= fits(i, i + lag)
         first.append(i[near])
         second.append(i[near] + lag)
         weight.append(apart[near])
@@ -216,6 +221,9 @@ def links_of_nodes(node: np.ndarray, rep: np.ndarray, f: np.ndarray, distance: i
     for s, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
         own = np.arange(size)
         for x, y in near_pairs(f[s : s + size], distance):
+            if fits:
+                fit = fits(x + s, y + s)
+                x, y = x[fit], y[fit]
             apart = np.bitwise_count(f[x + s] ^ f[y + s]).sum(1, dtype=np.int64)
             x, y, own = spanning(own, x, y, apart)
             first.append(x + s)
@@ -256,20 +264,20 @@ def split_nodes(tables: Tables, rows: DataFrame, block: int) -> DataFrame:
     return whole.select(F.explode(F.when(F.col("blocks").isNull(), F.array("node")).otherwise(pairs)).alias("node"), *[c for c in rows.columns if c != "node"])
 
 
-def search(rows: DataFrame, lanes: int, distance: int) -> DataFrame:
-    """Spanning links (a, b) between the representatives in each node."""
+def search(rows: DataFrame, lanes: int, distance: int, links: Callable = links_of_nodes, more: tuple[str, ...] = ()) -> DataFrame:
+    """Spanning links (a, b) between the representatives in each node. links gets the columns named in more as well."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def found(table: np.ndarray) -> pa.RecordBatch:
-            a, b = links_of_nodes(table[:, 0], table[:, 1], table[:, 2:].view(np.uint64), distance)
+            a, b = links(table[:, 0], table[:, 1], table[:, 2 : 2 + lanes].view(np.uint64), distance, *table[:, 2 + lanes :].T)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
         size = 0
         for batch in batches:
-            held.append(np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(2 + lanes)]))
+            held.append(np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(2 + lanes + len(more))]))
             size += len(held[-1])
             if size < 50_000:
                 continue
@@ -284,7 +292,7 @@ def search(rows: DataFrame, lanes: int, distance: int) -> DataFrame:
 
     fs = names(lanes)
     ordered = rows.repartition("node").sortWithinPartitions("node", "gray", *fs)
-    return ordered.select("node", "rep", *fs).mapInArrow(tidy(work), "a bigint, b bigint")
+    return ordered.select("node", "rep", *fs, *more).mapInArrow(tidy(work), "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, shingle: int = 5, lanes: int = 1, distance: int = 2) -> DataFrame:
