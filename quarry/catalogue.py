@@ -166,6 +166,19 @@ QUERIES: dict[str, Query] = {
     "locking_read": Query("SELECT n_nationkey FROM nation WHERE n_regionkey = 1 FOR UPDATE", "SELECT n_nationkey FROM nation WHERE n_regionkey = 1"),
     "update_limit": Query("CREATE TABLE t (k INT PRIMARY KEY, x INT); INSERT INTO t SELECT n_nationkey, 0 FROM nation; UPDATE t SET x = 1 ORDER BY k DESC LIMIT 4; SELECT k, x FROM t", "SELECT n_nationkey AS k, CASE WHEN n_nationkey > (SELECT MAX(n_nationkey) - 4 FROM nation) THEN 1 ELSE 0 END AS x FROM nation"),
     "fk_update_cascade": Query("CREATE TABLE p (k INT PRIMARY KEY); INSERT INTO p SELECT r_regionkey FROM region; CREATE TABLE c (k INT PRIMARY KEY, r INT, FOREIGN KEY (r) REFERENCES p (k) ON UPDATE CASCADE); INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation; UPDATE p SET k = k + 100 WHERE k < 2; SELECT k, r FROM c", "SELECT n_nationkey AS k, CASE WHEN n_regionkey < 2 THEN n_regionkey + 100 ELSE n_regionkey END AS r FROM nation"),
+    "upsert_second_key": Query("CREATE TABLE t (k INT PRIMARY KEY, e VARCHAR(30) UNIQUE, n INT); INSERT INTO t VALUES (1, 'a', 1); INSERT INTO t VALUES (10, 'x', 1), (11, 'x', 1), (1, 'y', 1), (12, 'a', 1), (13, NULL, 1), (14, NULL, 1) ON DUPLICATE KEY UPDATE n = n + VALUES(n); SELECT k, e, n FROM t", "SELECT * FROM (VALUES (1, 'a', 3), (10, 'x', 2), (13, NULL, 1), (14, NULL, 1)) v(k, e, n)"),
+    "upsert_repeated": Query("CREATE TABLE t (k INT PRIMARY KEY, n INT); INSERT INTO t SELECT n_regionkey, 1 FROM nation ON DUPLICATE KEY UPDATE n = n + 1; SELECT k, n FROM t", "SELECT n_regionkey AS k, CAST(COUNT(*) AS INTEGER) AS n FROM nation GROUP BY 1"),
+    "decimal_whole": Query("CREATE TABLE m (id INT PRIMARY KEY, x DECIMAL(20,2)); INSERT INTO m VALUES (1, 12345678901234567.89), (2, -1.15), (3, 1.15), (4, NULL), (5, -3); SELECT id, CAST(CEIL(x) AS CHAR) AS c, CAST(FLOOR(x) AS CHAR) AS f, CAST(TRUNCATE(x, 1) AS CHAR) AS t, CAST(TRUNCATE(x, 2) AS CHAR) AS u, CAST(ABS(x) AS CHAR) AS a FROM m", "SELECT * FROM (VALUES (1, '12345678901234568', '12345678901234567', '12345678901234567.8', '12345678901234567.89', '12345678901234567.89'), (2, '-1', '-2', '-1.1', '-1.15', '1.15'), (3, '2', '1', '1.1', '1.15', '1.15'), (4, NULL, NULL, NULL, NULL, NULL), (5, '-3', '-3', '-3.0', '-3.00', '3.00')) v(id, c, f, t, u, a)"),
+    "unique_by_bytes": Query("CREATE TABLE u (a VARCHAR(9) UNIQUE); INSERT INTO u VALUES ('a'), ('A'); INSERT IGNORE INTO u VALUES ('a'), ('B'); SELECT a FROM u", "SELECT * FROM (VALUES ('a'), ('A'), ('B')) v(a)"),
+    "unique_by_letters": Query("CREATE TABLE u (a VARCHAR(9) UNIQUE, n INT); INSERT INTO u VALUES ('a', 1); INSERT IGNORE INTO u VALUES ('A', 2), ('B', 3); SELECT n FROM u", "SELECT * FROM (VALUES (1), (3)) v(n)", "utf8mb4_general_ci"),
+    "view_elsewhere": Query("CREATE TABLE t AS SELECT 1 AS a; CREATE VIEW w AS SELECT a FROM t; CREATE DATABASE o; USE o; CREATE TABLE t AS SELECT 99 AS a; SELECT a FROM quarry.w", "SELECT 1 AS a"),
+    "json_by_table": Query("CREATE TABLE j (id INT, body JSON); CREATE TABLE v (id INT, body VARCHAR(20)); INSERT INTO j VALUES (1, '[1]'); INSERT INTO v VALUES (1, 'plain'); SELECT JSON_ARRAY(w.body) AS x, JSON_ARRAY(j.body) AS y FROM v AS w JOIN j ON w.id = j.id", "SELECT '[\"plain\"]' AS x, '[[1]]' AS y"),
+    "update_one_file": Query("CREATE TABLE t (k INT PRIMARY KEY, x INT); INSERT INTO t SELECT n_nationkey, 0 FROM nation; INSERT INTO t SELECT 100 + r_regionkey, 0 FROM region; UPDATE t SET x = 1 WHERE k = 102; DELETE FROM t WHERE k = 103; SELECT k, x FROM t", "SELECT n_nationkey AS k, 0 AS x FROM nation UNION ALL SELECT 100 + r_regionkey, CASE WHEN r_regionkey = 2 THEN 1 ELSE 0 END FROM region WHERE r_regionkey <> 3"),
+    "information_tables": Query("CREATE TABLE t (a INT PRIMARY KEY, b VARCHAR(9) DEFAULT 'x') COMMENT = 'c'; SELECT TABLE_NAME AS name, TABLE_TYPE AS kind, TABLE_COMMENT AS note FROM information_schema.tables WHERE TABLE_SCHEMA = 'quarry'", "SELECT 't' AS name, 'BASE TABLE' AS kind, 'c' AS note"),
+    "no_table": Query("SELECT 1 + 1 AS two, 'a' AS a, NULL AS n", "SELECT 2 AS two, 'a' AS a, NULL AS n"),
+    "comments_and_literals": Query("SELECT n_nationkey AS k, \"it's\" AS q -- tail\n FROM nation # more\n /* and more */ WHERE n_nationkey < 3", "SELECT n_nationkey AS k, 'it''s' AS q FROM nation WHERE n_nationkey < 3"),
+    "agg_limit_zero": Query("SELECT COUNT(*) AS n FROM nation LIMIT 0", "SELECT COUNT(*) AS n FROM nation LIMIT 0"),
+    "win_case_blind": Query("SELECT n, COUNT(*) OVER (PARTITION BY s) AS c FROM (SELECT n_nationkey AS n, CASE WHEN n_nationkey % 2 = 0 THEN 'a' ELSE 'A' END AS s FROM nation) t", "SELECT n_nationkey AS n, CASE WHEN n_nationkey % 2 = 0 THEN (SELECT COUNT(*) FROM nation WHERE n_nationkey % 2 = 0) ELSE (SELECT COUNT(*) FROM nation WHERE n_nationkey % 2 = 1) END AS c FROM nation"),
     "show_tables": Query("CREATE TABLE one (a INT); CREATE VIEW two AS SELECT a FROM one; SHOW FULL TABLES", "SELECT 'one' AS Tables_in_quarry, 'BASE TABLE' AS Table_type UNION ALL SELECT 'two', 'VIEW'"),
     "information_columns": Query("CREATE TABLE t (a INT PRIMARY KEY, b VARCHAR(9)); SELECT COLUMN_NAME AS name, DATA_TYPE AS kind, COLUMN_KEY AS mark FROM information_schema.columns WHERE TABLE_NAME = 't'", "SELECT 'a' AS name, 'int' AS kind, 'PRI' AS mark UNION ALL SELECT 'b', 'varchar', ''"),
 }

@@ -40,9 +40,24 @@ def padded(name: str) -> Callable[..., str]:
 
 
 def truncate(x: str, d: str) -> str:
+    """For literal places the remainder goes, which is exact for decimals."""
+    if re.fullmatch(r"\d+", d):
+        return f"round({x} - {x} % {f'0.{"0" * (int(d) - 1)}1BD' if int(d) else '1'}, {d})"
     return f"(sign({x}) * floor(abs({x}) * pow(10D, {d})) / pow(10D, {d}))"
 
 
+def whole(sign: str) -> Callable[[str], str]:
+    """CEIL and FLOOR, of the argument's type: decimals lose no digits."""
+    return lambda x: f"round({x} + pmod(-({x}), 1), 0)" if sign == "+" else f"round({x} - pmod({x}, 1), 0)"
+
+
+def now(places: str = "0") -> str:
+    """The wall-clock time with so many digits of a second."""
+    if not re.fullmatch("[0-6]", places):
+        raise SqlError("(1426) a time has 0 to 6 digits of a second")
+    return f"CAST(date_format(localtimestamp(), 'yyyy-MM-dd HH:mm:ss{'.' + 'S' * int(places) if int(places) else ''}') AS {WALL})"
+
+
 def log(*a: str) -> str:
     if len(a) == 1:
         return f"ln({a[0]})"
@@ -147,9 +162,9 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[..., str]]] = {
     "INSTR": (2, 2, lambda s, a: f"CAST(instr(exact({s}), exact({a})) AS BIGINT)"),
     "ASCII": (1, 1, first_byte),
     "ABS": (1, 1, plain("abs")),
-    "CEIL": (1, 1, plain("ceil", "DOUBLE")),
-    "CEILING": (1, 1, plain("ceil", "DOUBLE")),
-    "FLOOR": (1, 1, plain("floor", "DOUBLE")),
+    "CEIL": (1, 1, whole("+")),
+    "CEILING": (1, 1, whole("+")),
+    "FLOOR": (1, 1, whole("-")),
     "SQRT": (1, 1, lambda x: f"(CASE WHEN {x} < 0 THEN NULL ELSE sqrt({x}) END)"),
     "LN": (1, 1, plain("ln")),
     "LOG2": (1, 1, plain("log2")),
@@ -163,9 +178,9 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[..., str]]] = {
     "POW": (2, 2, plain("pow")),
     "POWER": (2, 2, plain("pow")),
     "PI": (0, 0, plain("pi")),
-    "NOW": (0, 1, lambda *a: "localtimestamp()"),
-    "CURRENT_TIMESTAMP": (0, 1, lambda *a: "localtimestamp()"),
-    "LOCALTIMESTAMP": (0, 1, lambda *a: "localtimestamp()"),
+    "NOW": (0, 1, now),
+    "CURRENT_TIMESTAMP": (0, 1, now),
+    "LOCALTIMESTAMP": (0, 1, now),
     "CURDATE": (0, 0, lambda: "current_date()"),
     "CURRENT_DATE": (0, 0, lambda: "current_date()"),
     "DATE": (1, 1, day),

@@ -28,21 +28,6 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
 
 
-def folded(column: str, kind: T.DataType) -> SparkColumn:
-    """Keys are equal whatever their case."""
-    return F.lower(F.col(f"`{column}`")) if isinstance(kind, T.StringType) else F.col(f"`{column}`")
-
-
-def key_columns(table: Table, columns: list[str], prefix: str) -> list[SparkColumn]:
-    return [folded(c, spark_type(table.column(c).declared)).alias(f"{prefix}{k}") for k, c in enumerate(columns)]
-
-
-def keyed(rows: DataFrame, table: Table, columns: list[str], *more: str) -> DataFrame:
-    """The key of each row, as k0, k1, ..., where all of it is known."""
-    out = rows.select(*key_columns(table, columns, "k"), *more)
-    return out.where(reduce(lambda a, b: a & b, (F.col(f"k{k}").isNotNull() for k in range(len(columns)))))
-
-
 def names(columns: list[str]) -> list[str]:
     return [f"k{k}" for k in range(len(columns))]
 
@@ -50,8 +35,25 @@ def names(columns: list[str]) -> list[str]:
 class Changes:
     """Changes of one statement. evaluate: the text of a MySQL condition, for Spark, over the table's own columns."""
 
-    def __init__(self, store: Store, catalogue: Catalogue, database: str, evaluate, foreign_checks: bool = True):
+    def __init__(self, store: Store, catalogue: Catalogue, database: str, evaluate, foreign_checks: bool = True, ignores_case=lambda column: True):
         self.store, self.catalogue, self.database, self.evaluate, self.foreign_checks = store, catalogue, database, evaluate, foreign_checks
+        self.ignores_case = ignores_case
+
+    # keys
+
+    def folded(self, table: Table, column: str) -> SparkColumn:
+        """Keys are equal as the column's collation has it."""
+        c = table.column(column)
+        text = isinstance(spark_type(c.declared), T.StringType)
+        return F.lower(F.col(f"`{column}`")) if text and self.ignores_case(c) else F.col(f"`{column}`")
+
+    def key_columns(self, table: Table, columns: list[str], prefix: str) -> list[SparkColumn]:
+        return [self.folded(table, c).alias(f"{prefix}{k}") for k, c in enumerate(columns)]
+
+    def keyed(self, rows: DataFrame, table: Table, columns: list[str], *more: str) -> DataFrame:
+        """The key of each row, as k0, k1, ..., where all of it is known."""
+        out = rows.select(*self.key_columns(table, columns, "k"), *more)
+        return out.where(reduce(lambda a, b: a & b, (F.col(f"k{k}").isNotNull() for k in range(len(columns)))))
 
     # checks
 
@@ -83,26 +85,30 @@ class Changes:
         if bad := rows.select(message.alias("m")).where("m is not null").first():
             raise SqlError(bad["m"])
 
-    def check_keys(self, table: Table, new: DataFrame, old: DataFrame | None) -> None:
-        """New rows' keys are unlike each other's and the old rows'."""
+    def check_keys(self, table: Table, new: DataFrame, old: DataFrame | None, touched: set[str] | None = None) -> None:
+        """New rows' keys are unlike each other's and the old rows'. touched: the columns that a change sets, if known."""
         for key in table.keys():
-            mine = keyed(new, table, key.columns)
+            if touched is not None and not touched & set(map(str.lower, key.columns)):
+                continue
+            mine = self.keyed(new, table, key.columns)
             twice = mine.groupBy(*names(key.columns)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
             if not twice and old is not None:
-                twice = keyed(old, table, key.columns).join(small(mine), names(key.columns), "left_semi").first()
+                twice = self.keyed(old, table, key.columns).join(small(mine), names(key.columns), "left_semi").first()
             if twice:
                 raise SqlError(f"(1062) duplicate entry {'-'.join(str(v) for v in twice[: len(key.columns)])!r} for key {table.name}.{key.name}")
 
-    def check_parents(self, table: Table, rows: DataFrame) -> None:
+    def check_parents(self, table: Table, rows: DataFrame, touched: set[str] | None = None) -> None:
         if not self.foreign_checks:
             return
         for key in table.foreign:
+            if touched is not None and not touched & set(map(str.lower, key.columns)):
+                continue
             parent = self.catalogue.table(self.database, key.parent)
-            children = keyed(rows, table, key.columns).distinct()
+            children = self.keyed(rows, table, key.columns).distinct()
             there = rows if parent is table and not table.folders else self.store.read(parent)
             if parent is table:
                 there = there.select(*key.parent_columns).unionByName(rows.select(*key.parent_columns))
-            parents = keyed(there, parent, key.parent_columns)
+            parents = self.keyed(there, parent, key.parent_columns)
             if children.join(parents, names(key.columns), "left_anti").first():
                 raise SqlError(f"(1452) a foreign key constraint fails: {table.name}.{key.name or key.columns[0]} has no such row in {key.parent}")
 
@@ -127,15 +133,15 @@ class Changes:
 
     def firsts(self, table: Table, rows: DataFrame, key: Index, last: bool = False) -> DataFrame:
         """The first (or last) row of each key; rows whose key isn't known all stay."""
-        w = Window.partitionBy(*key_columns(table, key.columns, "k")).orderBy(F.desc(ROW) if last else F.col(ROW))
         known = reduce(lambda a, b: a & b, (F.col(f"`{c}`").isNotNull() for c in key.columns))
+        w = Window.partitionBy(*self.key_columns(table, key.columns, "k"), F.when(~known, F.col(ROW))).orderBy(F.desc(ROW) if last else F.col(ROW))
         return rows.withColumn("_n", F.when(known, F.row_number().over(w)).otherwise(1)).where("_n = 1").drop("_n")
 
     def matching(self, table: Table, rows: DataFrame, others: DataFrame, key: Index, how: str) -> DataFrame:
         """rows that have (left_semi) or lack (left_anti) a partner with the same key."""
         k = names(key.columns)
-        mine = rows.withColumns(dict(zip([f"_{x}" for x in k], [folded(c, spark_type(table.column(c).declared)) for c in key.columns], strict=True)))
-        theirs = keyed(others, table, key.columns).distinct()
+        mine = rows.withColumns(dict(zip([f"_{x}" for x in k], [self.folded(table, c) for c in key.columns], strict=True)))
+        theirs = self.keyed(others, table, key.columns).distinct()
         on = reduce(lambda a, b: a & b, (mine[f"_{x}"] == theirs[x] for x in k))
         return mine.join(theirs, on, how).drop(*(f"_{x}" for x in k))
 
@@ -155,12 +161,28 @@ class Changes:
         removed = self.delete(table, gone.distinct())
         return removed + self.insert(table, rows)
 
+    def turns(self, table: Table, rows: DataFrame) -> DataFrame:
+        """rows with _turn, their place among those that they are connected with by equal keys, of whichever key."""
+        label = "_of"
+        known = {key.name: reduce(lambda a, b: a & b, (F.col(f"`{c}`").isNotNull() for c in key.columns)) for key in table.keys()}
+        marked = rows.withColumn(label, F.col(ROW))
+        while True:
+            least = marked
+            for key in table.keys():
+                same = Window.partitionBy(*self.key_columns(table, key.columns, "k"), F.when(~known[key.name], F.col(ROW)))
+                least = least.withColumn(label, F.when(known[key.name], F.min(label).over(same)).otherwise(F.col(label)))
+            if len(table.keys()) < 2:
+                marked = least
+                break
+            least = self.store.keep(least, "turns")
+            if least.agg(F.sum(F.col(label).cast("decimal(38,0)"))).first() == marked.agg(F.sum(F.col(label).cast("decimal(38,0)"))).first():
+                break
+            marked = least
+        return marked.withColumn("_turn", F.row_number().over(Window.partitionBy(label).orderBy(ROW))).drop(label)
+
     def insert_or_update(self, table: Table, rows: DataFrame, old: DataFrame, update) -> int:
-        """Rows with a new key go in, others change the row that has it; rows of one key take turns."""
-        key = table.keys()[0]
-        turn = Window.partitionBy(*key_columns(table, key.columns, "k")).orderBy(ROW)
-        known = reduce(lambda a, b: a & b, (F.col(f"`{c}`").isNotNull() for c in key.columns))
-        turns = rows.withColumn("_turn", F.when(known, F.row_number().over(turn)).otherwise(1))
+        """Rows with new keys go in, others change the row that has the first of their keys; rows that meet on a key take turns."""
+        turns = self.turns(table, rows)
         count = 0
         for k in range(1, (turns.agg(F.max("_turn")).first()[0] or 0) + 1):
             now = self.held(table, turns.where(F.col("_turn") == k).drop("_turn"))
@@ -175,21 +197,22 @@ class Changes:
 
     # changing
 
-    def update(self, table: Table, changed: DataFrame, depth: int = 0) -> int:
-        """changed: whole new rows, by their number."""
+    def update(self, table: Table, changed: DataFrame, touched: set[str] | None = None, depth: int = 0) -> int:
+        """changed: whole new rows, by their number. touched: the columns that may differ from before; only their keys are checked."""
         changed = self.held(table, changed)
         count = changed.count()
         if not count:
             return 0
+        if touched is not None:
+            touched = {c.lower() for c in touched} | {c.name.lower() for c in table.columns if c.on_update}
         self.check_rows(table, changed)
         old = self.store.read(table)
         ids = small(changed.select(ROW))
-        rest = old.join(ids, ROW, "left_anti")
-        self.check_keys(table, changed, rest)
-        before = old.join(ids, ROW, "left_semi")
-        self.follow(table, before, changed, depth)
-        self.store.replace(table, rest.unionByName(changed.select(*rest.columns)))
-        self.check_parents(table, changed)
+        self.check_keys(table, changed, old.join(ids, ROW, "left_anti"), touched)
+        if any(touched is None or touched & set(map(str.lower, k.parent_columns)) for _, k in self.children(table)):
+            self.follow(table, old.join(ids, ROW, "left_semi"), changed, depth)
+        self.store.rewrite(table, ids, changed)
+        self.check_parents(table, changed, touched)
         return count
 
     def delete(self, table: Table, ids: DataFrame, depth: int = 0) -> int:
@@ -200,7 +223,7 @@ class Changes:
         count = gone.count()
         if not count:
             return 0
-        self.store.replace(table, old.join(small(gone.select(ROW)), ROW, "left_anti"))
+        self.store.rewrite(table, small(gone.select(ROW)), None)
         self.follow(table, gone, None, depth)
         return count
 
@@ -212,11 +235,11 @@ class Changes:
             raise SqlError("(3008) foreign key actions are nested too deeply")
         for child, key in self.children(table):
             k = names(key.columns)
-            gone = keyed(before, table, key.parent_columns, ROW)
+            gone = self.keyed(before, table, key.parent_columns, ROW)
             if after is not None:
-                gone = gone.join(keyed(after, table, key.parent_columns, ROW), [*k, ROW], "left_anti")
+                gone = gone.join(self.keyed(after, table, key.parent_columns, ROW), [*k, ROW], "left_anti")
             rows = self.store.read(child)
-            mine = rows.withColumns(dict(zip([f"_{x}" for x in k], [folded(c, spark_type(child.column(c).declared)) for c in key.columns], strict=True)))
+            mine = rows.withColumns(dict(zip([f"_{x}" for x in k], [self.folded(child, c) for c in key.columns], strict=True)))
             gone = gone.withColumnRenamed(ROW, "_parent")
             on = reduce(lambda a, b: a & b, (mine[f"_{x}"] == gone[x] for x in k))
             hit = mine.join(gone, on)
@@ -227,7 +250,7 @@ class Changes:
                 raise SqlError(f"(1451) a foreign key constraint fails: rows of {child.name} refer to this row of {table.name}")
             if action == "SET NULL":
                 new = hit.select(*(F.lit(None).alias(c) if c.lower() in {x.lower() for x in key.columns} else F.col(f"`{c}`") for c in rows.columns))
-                self.update(child, new, depth + 1)
+                self.update(child, new, None, depth + 1)
             elif after is None:
                 self.delete(child, hit.select(ROW), depth + 1)
             else:
@@ -236,6 +259,6 @@ class Changes:
                 new = hit.join(moved, "_parent").select(*(F.col(f"_new{place[c.lower()]}").alias(c) if c.lower() in place else F.col(f"`{c}`") for c in rows.columns))
                 checks, self.foreign_checks = self.foreign_checks, False
                 try:
-                    self.update(child, new, depth + 1)
+                    self.update(child, new, None, depth + 1)
                 finally:
                     self.foreign_checks = checks

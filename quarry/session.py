@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from quarry.functions import jsonfn, scalar
 from quarry.operators.changes import Changes
 from quarry.plans import metadata
-from quarry.plans.lexer import SqlError, statements
+from quarry.plans.lexer import SqlError, statements, tokens
 from quarry.plans.statements import Parser
 from quarry.plans.translate import Context, Translator, collation, quoted, translate
 from quarry.sources.store import ROW, Catalogue, Column, Index, Store, Table, View, base_type, declared_type, spark_type
@@ -36,7 +36,11 @@ DEFAULT_COLLATION = "utf8mb4_general_ci"
 def scratch(spark: SparkSession) -> str:
     """A folder of its own where driver and executors share one (spark.checkpoint.dir), else, as in tests, a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/quarry-tables-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="quarry-tables-")
+    if shared:
+        return f"{shared.rstrip('/')}/quarry-tables-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise SqlError("spark.checkpoint.dir, the folder that driver and executors share, is not set")
+    return "file://" + tempfile.mkdtemp(prefix="quarry-tables-")
 
 
 @dataclass
@@ -54,7 +58,8 @@ class Session:
         self.database, self.collation, self.time_zone = database, collation_name, time_zone
         self.foreign_checks, self.last_insert_id = True, 0
         self.variables: dict[str, object] = {"version": VERSION, "autocommit": 1, "collation_connection": collation_name, "time_zone": time_zone, "foreign_key_checks": 1, "tx_isolation": "REPEATABLE-READ", "transaction_isolation": "REPEATABLE-READ"}
-        self.attached: dict[str, Table] = {}
+        self.attached: dict[str, Table | str] = {}  # a path until the table is first used
+        self.mark: str | None = None
         self.open: Catalogue | None = None
         self.savepoints: list[tuple[str, Catalogue]] = []
         self.now: Catalogue | None = None
@@ -70,8 +75,14 @@ class Session:
 
     def attach(self, name: str, path: str) -> None:
         """A Parquet table as a read-only table of every database."""
-        schema = self.spark.read.parquet(path).schema
-        self.attached[name.lower()] = Table(name, [Column(f.name, declared_type(f.dataType)) for f in schema], external=path)
+        self.attached[name.lower()] = path
+
+    def attached_table(self, name: str) -> Table | None:
+        found = self.attached.get(name.lower())
+        if isinstance(found, str):
+            schema = self.spark.read.parquet(found).schema
+            found = self.attached[name.lower()] = Table(name, [Column(f.name, declared_type(f.dataType)) for f in schema], external=found)
+        return found
 
     def catalogue(self) -> Catalogue:
         """As the running statement or transaction sees it."""
@@ -87,7 +98,7 @@ class Session:
         catalogue = self.catalogue()
         found = catalogue.found(database or self.database, name)
         if found is None and database is None:
-            found = self.attached.get(name.lower())
+            found = self.attached_table(name)
         if found is None:
             raise SqlError(f"(1146) table {database or self.database}.{name} doesn't exist")
         return found
@@ -118,21 +129,42 @@ class Session:
         if key in self.views:
             raise SqlError(f"(1462) view {view.name} refers to itself")
         self.views.append(key)
-        hidden, self.hidden = self.hidden, False
+        before = self.hidden, self.database
+        self.hidden, self.database = False, database or self.database  # a view's tables are those of its own database
         try:
-            text = translate(view.sql, self.context())
+            text = translate(view.sql, self.context(view.sql))
         finally:
             self.views.pop()
-            self.hidden = hidden
+            self.hidden, self.database = before
         if view.columns:
             return f"(SELECT * FROM ({text}) AS v({', '.join(map(quoted, view.columns))}))"
         return f"({text})"
 
-    def context(self) -> Context:
-        documents = {c.name.lower() for t in self.catalogue().tables(self.database) for c in t.columns if base_type(c.declared) == "JSON"} if self.database.lower() in self.catalogue().databases else set()
+    def documents(self, text: str | None):
+        """Which columns (by qualifier, if any, and name) hold JSON, judged by the tables that the statement names."""
+        catalogue = self.catalogue()
+        tables = {t.name.lower(): t for t in catalogue.tables(self.database)} if self.database.lower() in catalogue.databases else {}
+        by: dict[str, list[Table]] = {}
+        words = [x for x in tokens(text)] if text else []
+        for k, word in enumerate(words):
+            if (t := tables.get(word.text.lower())) is None or word.kind not in ("name", "word"):
+                continue
+            after = [x for x in words[k + 1 : k + 3] if x.kind in ("name", "word")]
+            named = after[1:] if after and after[0].text.upper() == "AS" else after[:1]
+            for name in {word.text.lower(), *(x.text.lower() for x in named)}:
+                by.setdefault(name, []).append(t)
+        seen = {id(t): t for ts in by.values() for t in ts}.values() if text else tables.values()
+
+        def document(name: str, qualifier: str | None = None) -> bool:
+            kinds = [base_type(c.declared) for t in (by.get(qualifier.lower(), seen) if qualifier else seen) for c in t.columns if c.name.lower() == name.lower()]
+            return bool(kinds) and all(k == "JSON" for k in kinds)
+
+        return document
+
+    def context(self, text: str | None = None) -> Context:
         user = scalar.literal("quarry@localhost")
         functions = {"VERSION": scalar.literal(VERSION), "DATABASE": scalar.literal(self.database), "SCHEMA": scalar.literal(self.database), "USER": user, "CURRENT_USER": user, "SESSION_USER": user, "CONNECTION_ID": "1L", "LAST_INSERT_ID": f"{self.last_insert_id}L"}
-        return Context(self.relation, self.variables, functions, self.ignores_case, documents.__contains__)
+        return Context(self.relation, self.variables, functions, self.ignores_case, self.documents(text))
 
     # statements
 
@@ -152,7 +184,7 @@ class Session:
         return out
 
     def translated(self, sql: str, args: list[object] | None = None) -> str:
-        return translate(sql, self.context(), args)
+        return translate(sql, self.context(sql), args)
 
     def sql(self, text: str, args: list[object] | None = None) -> DataFrame | Done:
         parsed = Parser(text, self.context(), args).statement()
@@ -174,6 +206,7 @@ class Session:
     def changing(self, work) -> Done:
         """Run work(catalogue) on a copy of the catalogue, and publish it if all went well."""
         self.now = self.catalogue().copy()
+        mark = None if self.open is not None else self.store.begin(self.now)
         try:
             out = work(self.now)
             if self.open is not None:
@@ -183,6 +216,7 @@ class Session:
         finally:
             self.now = None
             self.store.sweep()
+            self.store.end(mark)
         return out if isinstance(out, Done) else Done(out or 0)
 
     def table(self, name: tuple[str | None, str]) -> Table:
@@ -427,7 +461,7 @@ class Session:
     # rows
 
     def changes(self, catalogue: Catalogue, table: tuple[str | None, str]) -> Changes:
-        return Changes(self.store, catalogue, table[0] or self.database, lambda text: Translator(text, self.context()).condition(), self.foreign_checks)
+        return Changes(self.store, catalogue, table[0] or self.database, lambda text: Translator(text, self.context()).condition(), self.foreign_checks, lambda c: collation(c.collation or self.collation) == "UTF8_LCASE")
 
     def default_text(self, c: Column) -> str:
         """Spark's text for a column's default."""
@@ -525,11 +559,11 @@ class Session:
         on = None
         for n in key.columns:
             a, b = F.col(f"`{n}`"), F.col(f"`_new_{n}`")
-            same = F.lower(a) == F.lower(b) if isinstance(spark_type(t.column(n).declared), T.StringType) else a == b
+            same = F.lower(a) == F.lower(b) if isinstance(spark_type(t.column(n).declared), T.StringType) and collation(t.column(n).collation or self.collation) == "UTF8_LCASE" else a == b
             on = same if on is None else on & same
         rows = old.join(renamed, on)
         made = self.assigned(t, rows, t.name, [(n[1], text) for n, text in update], {x.name.lower(): quoted(f"_new_{x.name}") for x in t.columns})
-        return self.changes(c, table).update(t, made.select(*(f"`{x.name}`" for x in t.columns), ROW))
+        return self.changes(c, table).update(t, made.select(*(f"`{x.name}`" for x in t.columns), ROW), {n[1].lower() for n, _ in update})
 
     def sources(self, source: str) -> tuple[str, dict[str, Table]]:
         """Spark's text of the FROM of a change, with row numbers in sight, and the tables by the names that they go by."""
@@ -583,7 +617,7 @@ class Session:
                 (alias, t), = by.items()
                 order_text = order or (f"{quoted(alias)}.{quoted(ROW)}" if limit is not None else None)
                 rows = self.hits(text, where, ", ".join(f"{quoted(alias)}.{quoted(x)}" for x in [*(k.name for k in t.columns), ROW]), order_text, limit)
-                return changes.update(t, self.assigned(t, self.plain(t, rows), alias, [(n[1], x) for n, x in set]))
+                return changes.update(t, self.assigned(t, self.plain(t, rows), alias, [(n[1], x) for n, x in set]), {n[1].lower() for n, _ in set})
             count = 0
             jobs: dict[str, list[tuple[str, str]]] = {}
             for (qualifier, name), expression in set:
@@ -599,9 +633,9 @@ class Session:
                 rows = self.hits(text, where, ", ".join([*own, f"{quoted(alias)}.{quoted(ROW)}", first])).where(f"_n = 1 AND {quoted(ROW)} IS NOT NULL").drop("_n")
                 if limit is not None:
                     rows = rows.orderBy(ROW).limit(limit)
-                made.append((t, changes.held(t, self.plain(t, rows))))
-            for t, rows in made:
-                count += changes.update(t, rows)
+                made.append((t, changes.held(t, self.plain(t, rows)), new.keys()))
+            for t, rows, names in made:
+                count += changes.update(t, rows, names)
             return count
 
         return self.changing(work)
@@ -641,19 +675,25 @@ class Session:
         if self.open is not None:
             self._commit()
         self.open = self.catalogue().copy()
+        self.mark = self.store.begin(self.open)
         self.savepoints = []
         return Done()
 
+    def closed(self) -> None:
+        self.open, self.savepoints = None, []
+        self.store.end(self.mark)
+        self.mark = None
+
     def _commit(self) -> Done:
         if self.open is not None:
             try:
                 self.store.publish(self.open)
             finally:
-                self.open, self.savepoints = None, []
+                self.closed()
         return Done()
 
     def _rollback(self) -> Done:
-        self.open, self.savepoints = None, []
+        self.closed()
         return Done()
 
     def _savepoint(self, name: str) -> Done:
@@ -711,7 +751,8 @@ class Session:
         return self.changing(work)
 
     def _gc(self) -> Done:
-        return Done(self.store.collect_garbage(self.store.load()))
+        own = [] if self.open is None else [self.open, *(c for _, c in self.savepoints)]
+        return Done(self.store.collect_garbage(self.store.load(), *own))
 
     # metadata
 
@@ -731,7 +772,6 @@ class Session:
 
 def bound(text: str, args: list[object]) -> str:
     """The statement with literals for its parameters."""
-    from quarry.plans.lexer import tokens
     from quarry.plans.translate import as_literal
 
     out, at, left = [], 0, list(args)

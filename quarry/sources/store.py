@@ -1,8 +1,11 @@
 """Versioned Parquet tables and their catalogue.
 
-A table is a list of immutable Parquet folders. Appending adds a folder, changing rows writes a new one, and a statement
-takes effect when the catalogue, one JSON file, is replaced; a reader sees the folders of the catalogue that it loaded. A catalogue
-that someone else has replaced meanwhile is a conflict. All files go through Spark's own file systems.
+A table is a list of immutable Parquet folders and files. Appending adds a folder; changing rows writes the files that
+hold them anew and leaves the others. A statement takes effect when the catalogue's next revision, a JSON file with its
+number in its name, is put in place by a rename that fails if the name is taken: of two sessions that begin with one
+revision, one succeeds and the other has a conflict, and a crash leaves the old revision or the new one, never none.
+A reader sees the folders of the catalogue that it loaded. Running transactions and statements leave a mark, and what is
+younger than the oldest mark, or belongs to its revision, is no garbage. All files go through Spark's own file systems.
 """
 
 from __future__ import annotations
@@ -10,6 +13,8 @@ from __future__ import annotations
 import copy
 import json
 import re
+import threading
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -21,6 +26,10 @@ from quarry.plans.lexer import SqlError
 
 #: Hidden column: a number for each row, rising with insertion.
 ROW = "_row"
+#: Old revisions of the catalogue that stay, and the age in seconds at which a mark is that of a dead session.
+REVISIONS, STALE = 20, 24 * 3600
+#: File systems whose rename isn't atomic by itself (the local one, in tests) get help within a process.
+_publishing = threading.Lock()
 
 
 @dataclass
@@ -221,25 +230,66 @@ class Store:
             self.replace(table, self.read(table))
         return before if before > 1 else 0
 
-    def collect_garbage(self, catalogue: Catalogue) -> int:
-        """Remove the folders that no table has any more. Readers of older versions must have ended."""
-        used = {f.rpartition("/")[2] for ts in catalogue.databases.values() for t in ts.values() if isinstance(t, Table) for f in t.folders}
+    def marks(self) -> list[tuple[int, int, object]]:
+        """(revision, time, path) of what runs. Those of dead sessions go."""
+        p, fs = self._fs(f"{self.root}/running")
+        out = []
+        for status in fs.listStatus(p) if fs.exists(p) else []:
+            if status.getModificationTime() < (time.time() - STALE) * 1000:
+                fs.delete(status.getPath(), False)
+            else:
+                out.append((int(status.getPath().getName().partition("-")[0]), status.getModificationTime(), status.getPath()))
+        return out
+
+    def begin(self, catalogue: Catalogue) -> str:
+        """A mark that work which begins with this catalogue is under way."""
+        path = f"{self.root}/running/{catalogue.revision}-{uuid.uuid4().hex}"
+        p, fs = self._fs(path)
+        fs.create(p, False).close()
+        return path
+
+    def end(self, mark: str | None) -> None:
+        if mark:
+            p, fs = self._fs(mark)
+            fs.delete(p, False)
+
+    def collect_garbage(self, *catalogues: Catalogue) -> int:
+        """Remove the folders that no table has any more: not in these catalogues, and not of anything that still runs."""
+        marks = self.marks()
+        held = [*catalogues, *(c for r in {r for r, _, _ in marks} if (c := self.load(r)) is not None)]
+        oldest = min((t for _, t, _ in marks), default=None)
+        used = {self.folder_name(f) for c in held for ts in c.databases.values() for t in ts.values() if isinstance(t, Table) for f in t.folders}
         p, fs = self._fs(f"{self.root}/data")
         gone = 0
         for status in fs.listStatus(p) if fs.exists(p) else []:
-            if status.getPath().getName() not in used:
+            if status.getPath().getName() not in used and (oldest is None or status.getModificationTime() < oldest):
                 gone += fs.delete(status.getPath(), True)
         return gone
 
+    def folder_name(self, path: str) -> str:
+        """The name below data of a table's folder, or of the folder of one of its files."""
+        return path[len(f"{self.root}/data/") :].partition("/")[0]
+
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def load(self) -> Catalogue:
-        p, fs = self._fs(f"{self.root}/catalogue.json")
-        if not fs.exists(p):
-            return Catalogue()
+    def revisions(self) -> list[int]:
+        p, fs = self._fs(self.root)
+        found = [re.fullmatch(r"catalogue-(\d+)\.json", x.getPath().getName()) for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(m[1]) for m in found if m)
+
+    def load(self, revision: int | None = None) -> Catalogue | None:
+        """The newest catalogue, or that of a revision, if it is still there."""
+        there = self.revisions()
+        if revision is None:
+            if not there:
+                return Catalogue()
+            revision = there[-1]
+        elif revision not in there:
+            return None
+        p, fs = self._fs(f"{self.root}/catalogue-{revision}.json")
         stream = fs.open(p)
         try:
             text = bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
@@ -248,19 +298,36 @@ class Store:
         return Catalogue.from_json(text)
 
     def publish(self, catalogue: Catalogue) -> None:
-        """Replace the catalogue, unless it isn't the one that this one began with."""
-        if self.load().revision != catalogue.revision:
-            raise SqlError("(1213) the tables were changed by another session; try again")
-        catalogue.revision += 1
-        p, fs = self._fs(f"{self.root}/catalogue.json")
-        new, _ = self._fs(f"{self.root}/catalogue-{uuid.uuid4().hex}.json")
-        fs.mkdirs(p.getParent())
-        stream = fs.create(new, True)
-        stream.write(bytearray(catalogue.to_json().encode()))
+        """Put the next revision in place, unless another session has done so since this catalogue was loaded."""
+        conflict = SqlError("(1213) the tables were changed by another session; try again")
+        new = catalogue.revision + 1
+        source, fs = self._fs(f"{self.root}/writing-{uuid.uuid4().hex}.json")
+        fs.mkdirs(source.getParent())
+        stream = fs.create(source, True)
+        stream.write(bytearray(json.dumps({**json.loads(catalogue.to_json()), "revision": new}).encode()))
         stream.close()
-        fs.delete(p, False)
-        if not fs.rename(new, p):
-            raise SqlError("the catalogue could not be replaced")
+        target, _ = self._fs(f"{self.root}/catalogue-{new}.json")
+        context = self.spark.sparkContext
+        hadoop, gateway = context._jvm.org.apache.hadoop.fs, context._gateway
+        if_absent = gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        if_absent[0] = getattr(hadoop, "Options$Rename").NONE
+        try:
+            with _publishing:
+                there = self.revisions()
+                if there and there[-1] >= new:
+                    raise conflict
+                try:
+                    hadoop.FileContext.getFileContext(source.toUri(), context._jsc.hadoopConfiguration()).rename(source, target, if_absent)
+                except Exception as e:
+                    raise (conflict if "FileAlreadyExists" in str(e) else e) from None
+        finally:
+            fs.delete(source, False)
+        catalogue.revision = new
+        least = min([new - REVISIONS, *(r for r, _, _ in self.marks())])
+        for r in there:
+            if r < least:
+                old, _ = self._fs(f"{self.root}/catalogue-{r}.json")
+                fs.delete(old, False)
 
     def read(self, table: Table) -> DataFrame:
         if table.external:
@@ -285,6 +352,27 @@ class Store:
             table.next_row = last + 1
         return count
 
+    def rewrite(self, table: Table, ids: DataFrame, changed: DataFrame | None) -> None:
+        """The files that hold the rows of these numbers anew, without them; the changed rows besides. Other files stay."""
+        there = self.read(table).select(ROW, F.col("_metadata.file_path").alias("_file"))
+        hit = {r["_file"].rpartition("/")[2] for r in there.join(ids, ROW, "left_semi").select("_file").distinct().collect()}
+        kept: list[str] = []
+        touched: list[str] = []
+        for path in table.folders:
+            p, fs = self._fs(path)
+            files = [f"{path}/{x.getPath().getName()}" for x in fs.listStatus(p) if x.getPath().getName().endswith(".parquet")] if fs.getFileStatus(p).isDirectory() else [path]
+            own = [f for f in files if f.rpartition("/")[2] in hit]
+            touched += own
+            kept += [path] if not own else [f for f in files if f not in own]
+        rows = self.spark.read.schema(table.schema()).parquet(*touched).join(ids, ROW, "left_anti") if touched else None
+        if changed is not None:
+            rows = changed if rows is None else rows.unionByName(changed.select(*rows.columns))
+        if rows is not None:
+            folder = self.write(table, rows)
+            if not self.spark.read.schema(table.schema()).parquet(folder).isEmpty():
+                kept.append(folder)
+        table.folders = kept
+
     def replace(self, table: Table, rows: DataFrame) -> None:
         """All rows anew; rows keep their numbers, rows without one get it."""
         folder = self.write(table, rows.withColumn(ROW, F.coalesce(ROW, F.monotonically_increasing_id() + table.next_row)))
