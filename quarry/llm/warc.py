@@ -1,16 +1,18 @@
 """WARC archives as a chunked record table.
 
 Writing. Each page is a record. Its payload is the UTF-8 of the html; a payload of over ``chunk`` bytes is written as a
-segmented record: rows of record identifier and segment number, of at most ``chunk`` bytes each (the standard's
-``continuation`` records). Each such row is one gzip member, and Spark's text sink writes them with an empty gzip member
-as the line separator. So the files are plain ``.warc.gz`` files, member by member, on any file system that Spark
-writes to, under its commit protocol, and at no time more than a chunk of a payload is copied.
+segmented record (the standard's ``continuation`` records): Spark cuts the column into rows of record identifier, chunk
+number and at most ``chunk`` bytes, before Python sees any of it, and a running digest goes from each chunk to the next;
+every segment's header has the digest up to there, the last one's that of the payload. Each row is one gzip member, and
+Spark's text sink writes them with an empty gzip member as the line separator. So the files are plain ``.warc.gz`` files,
+member by member, on any file system that Spark writes to, under its commit protocol. Beside Spark's own row, no more
+than an Arrow batch of chunks is held.
 
 Reading. The text source splits the files at the empty members, in parallel within a file as well; members can't hold
 that separator, as it isn't valid UTF-8 and compressed data would have to contain twenty given bytes. Whole records are
 read where they stand. The segments of oversized ones are brought together by record and sorted by number; a task
-passes over them with one running digest and never holds more than a segment. Both ways the payload's digest is compared with the one
-in the header, and a difference is an error.
+passes over them with one running digest and never holds more than a segment. The digests are compared with those in the
+headers, a segmented record's at each segment, and a difference is an error.
 
 Revisits. Payloads are equal if their SHA-256 and lengths are. Of equal payloads of at least ``least`` bytes that with
 the smallest page_id is a response and the others revisit it; smaller ones are all responses.
@@ -29,7 +31,6 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,33 +71,44 @@ def record_id(page: int | None, row: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_IDS, f'page:{page}' if page is not None else f'row:{row}')}>"
 
 
+class Writer:
+    """The members of records whose chunks come one after another."""
+
+    def __init__(self, chunk: int):
+        self.chunk, self.running = chunk, hashlib.sha1()
+
+    def member(self, page: int | None, url: str | None, refers: int | None, size: int, row: str, number: int, part: bytes, digest: bytes | None) -> tuple[int, bytes]:
+        """A chunk's member; 1 marks those of a segmented record. digest: of the whole payload, for revisits only."""
+        own = record_id(page, row)
+        common = [("WARC-Date", DATE), ("Content-Type", "application/http; msgtype=response"), ("X-Row", row)]
+        if page is not None:
+            common.append(("X-Page-ID", page))
+        if url:
+            common.append(("WARC-Target-URI", " ".join(url.split())))
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+        told = lambda d: ("WARC-Payload-Digest", f"sha1:{base32(d)}")
+        if refers is not None:
+            return 0, member([("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers, "")), ("X-Refers-To-Page", refers), told(digest), *common], http)
+        if size <= self.chunk:
+            return 0, member([("WARC-Type", "response"), ("WARC-Record-ID", own), told(hashlib.sha1(part).digest()), *common], http + part)
+        if not number:
+            self.running = hashlib.sha1()
+        self.running.update(part)
+        last = (number + 1) * self.chunk >= size
+        kind = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(None, f"{row}/{number}")), ("WARC-Segment-Origin-ID", own)] if number else [("WARC-Type", "response"), ("WARC-Record-ID", own)]
+        end = [("WARC-Segment-Total-Length", len(http) + size), told(self.running.digest())] if last else []
+        return 1, member([*kind, ("WARC-Segment-Number", number + 1), ("X-Running-Digest", f"sha1:{base32(self.running.digest())}"), *end, *common], part if number else http + part)
+
+
 def records(page: int | None, url: str | None, payload: bytes, refers: int | None, row: str, chunk: int) -> Iterator[tuple[int, bytes]]:
-    """The members of a page's record; 1 marks those of a segmented one."""
-    digest = hashlib.sha1()
-    for at in range(0, len(payload), chunk):
-        digest.update(memoryview(payload)[at : at + chunk])
-    own = record_id(page, row)
-    common = [("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{base32(digest.digest())}"), ("Content-Type", "application/http; msgtype=response"), ("X-Row", row)]
-    if page is not None:
-        common.append(("X-Page-ID", page))
-    if url:
-        common.append(("WARC-Target-URI", " ".join(url.split())))
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    if refers is not None:
-        yield 0, member([("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers, "")), ("X-Refers-To-Page", refers), *common], http)
-    elif len(payload) <= chunk:
-        yield 0, member([("WARC-Type", "response"), ("WARC-Record-ID", own), *common], http + payload)
-    else:
-        count = -(-len(payload) // chunk)
-        for k in range(count):
-            part = payload[k * chunk : (k + 1) * chunk]
-            kind = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(None, f"{row}/{k}")), ("WARC-Segment-Origin-ID", own)] if k else [("WARC-Type", "response"), ("WARC-Record-ID", own)]
-            end = [("WARC-Segment-Total-Length", len(http) + len(payload))] if k == count - 1 else []
-            yield 1, member([*kind, ("WARC-Segment-Number", k + 1), *end, *common], part if k else http + part)
+    """The members of a payload that is at hand."""
+    w = Writer(chunk)
+    for number in range(1 if refers is not None else max(1, -(-len(payload) // chunk))):
+        yield w.member(page, url, refers, len(payload), row, number, payload[number * chunk : (number + 1) * chunk], hashlib.sha1(payload).digest())
 
 
 def with_first(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html and refers_to: the page that a page's payload is first found in, if that is another.
+    """page_id, url, payload, size and refers_to: the page that a page's payload is first found in, if that is another.
 
     The groups' exchange is by hash and length, the join's by hash: both sides of the join are then plain exchanges,
     and adaptive execution splits the partition of a payload that very many pages have.
@@ -105,7 +117,21 @@ def with_first(pages: DataFrame, least: int = 0) -> DataFrame:
     keyed = pages.withColumns({"hash": F.unhex(F.sha2(payload, 256)), "size": F.octet_length(payload)})
     first = keyed.groupBy("hash", "size").agg(F.min("page_id").alias("first")).select("hash", "first")
     refers = F.when((F.col("size") >= least) & (F.col("first") != F.col("page_id")), F.col("first"))
-    return keyed.join(first, "hash").select("page_id", "url", "html", refers.alias("refers_to"))
+    return keyed.join(first, "hash").select("page_id", "url", payload.alias("payload"), "size", refers.alias("refers_to"))
+
+
+def chunked(rows: DataFrame, chunk: int) -> DataFrame:
+    """A row (page_id, url, refers_to, size, row, number, part, digest) for each chunk of a payload, in order; cut by Spark.
+
+    Revisits have one row, without bytes but with the payload's digest, others as many as their chunks are.
+    """
+    again = F.col("refers_to").isNotNull()
+    numbers = F.when(again | (F.col("size") <= chunk), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), ((F.col("size") - 1) / chunk).cast("int")))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("*", F.explode(numbers).alias("number"))
+    part = F.when(again, F.lit(b"")).when(F.col("size") <= chunk, F.col("payload")).otherwise(F.substr(F.col("payload"), F.col("number") * chunk + 1, F.lit(chunk)))
+    digest = F.when(again, F.unhex(F.sha1("payload")))
+    return rows.select("page_id", "url", "refers_to", "size", "row", "number", part.alias("part"), digest.alias("digest"))
 
 
 def write(pages: DataFrame, path: str, chunk: int = CHUNK, least: int = 0) -> None:
@@ -113,23 +139,25 @@ def write(pages: DataFrame, path: str, chunk: int = CHUNK, least: int = 0) -> No
     schema = pa.schema([("segmented", pa.int32()), ("member", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, count = TaskContext.get().partitionId(), 0
+        writer = Writer(chunk)
         out: list[tuple[int, bytes]] = []
         held = 0
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([m for _, m in out], pa.binary())], schema=schema)
+
         for b in batches:
-            for page, url, html, refers in zip(*(c for c in b.columns), strict=True):
-                count += 1
-                payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
-                for x in records(page.as_py(), url.as_py(), payload, refers.as_py(), f"{part}-{count}", chunk):
-                    out.append(x)
-                    held += len(x[1])
-                    if held > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([m for _, m in out], pa.binary())], schema=schema)
-                        out, held = [], 0
+            for cells in zip(*b.columns, strict=True):
+                page, url, refers, size, row, number, part, digest = (c.as_py() for c in cells)
+                out.append(writer.member(page, url, refers, size, str(row), number, part, digest))
+                held += len(out[-1][1])
+                if held > 4 << 20:
+                    yield told()
+                    out, held = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([m for _, m in out], pa.binary())], schema=schema)
+            yield told()
 
-    made = with_first(pages, least).mapInArrow(tidy(work), "segmented int, member binary")
+    made = chunked(with_first(pages, least), chunk).mapInArrow(tidy(work), "segmented int, member binary")
     made.select("segmented", F.col("member").cast("string").alias("value")).write.partitionBy("segmented").option("encoding", "ISO-8859-1").option("lineSep", SEPARATOR.decode("latin-1")).text(path)
 
 
@@ -201,6 +229,8 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if number != expected:
                 raise ValueError(f"record {headers['x-row']}: segment {expected} is missing")
             digest.update(block)
+            if headers["x-running-digest"] != f"sha1:{base32(digest.digest())}":
+                raise ValueError(f"record {headers['x-row']}: segment {number} is not what its header says")
             size, expected = size + len(block), expected + 1
             if "warc-segment-total-length" in headers:
                 rows.append((page, size, _checked(headers, digest.digest(), size, told), "response", None))
