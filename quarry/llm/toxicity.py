@@ -6,8 +6,9 @@ that a pair (an insult and who it is aimed at) can weigh other than its parts. L
 
 * a bounded sample of labelled rows, ``POSITIVE`` and ``NEGATIVE`` at most, the first by hash of the id; weights
   bring the sample back to the shares that all labelled rows have;
-* of the terms in at least ``LEAST`` of its texts, the ``TERMS`` with the largest chi-squared statistic;
-* logistic loss, Adagrad over small batches, on the driver: the sample's terms are bounded, and so is the model.
+* of the terms in at least ``LEAST`` of its texts, the ``TERMS`` with the largest chi-squared statistic, counted by Spark;
+* logistic loss, Adagrad over small batches, on the driver, which gets a bit for each of these terms and each text:
+  ``TERMS`` / 8 bytes a row, whatever the texts' lengths.
 
 Scoring reads whole texts, one at a time, and knows nothing but the text.
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc32_of, tidy, trim
+from quarry.llm.common import Tables, crc32_of, tidy, trim
 
 BUCKETS = 1 << 20
 POSITIVE, NEGATIVE = 2500, 5000
@@ -101,28 +102,51 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
     return rows.select("doc_id", "text", "y"), counts.get(1, 0), counts.get(0, 0)
 
 
-def collected(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct term ids of each text, and its label; one row for each id."""
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("terms", pa.binary())])
+def terms_of(text: str | None) -> np.ndarray:
+    """The distinct term ids of a text."""
+    return np.unique(np.array([x for w in set(_WORD.findall((text or "").lower())) for x in term_ids(w)], np.uint32))
+
+
+def chosen_terms(rows: DataFrame) -> np.ndarray:
+    """The terms to learn with, counted by Spark: only these come to the driver. rows (doc_id, text, y)."""
+    schema = pa.schema([("term", pa.int64()), ("n", pa.int64()), ("toxic", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [terms_of(t.as_py()) for t in b.column(0)]
+            every, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *found]), return_counts=True)
+            toxic = np.zeros(len(every), np.int64)
+            for t, y in zip(found, b.column(1).to_pylist(), strict=True):
+                if y:
+                    toxic[np.searchsorted(every, t)] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(every.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(toxic)], schema=schema)
+
+    share = rows.agg(F.avg("y")).first()[0]
+    if share is None or not 0 < share < 1:
+        return np.zeros(0, np.int64)
+    n, toxic = F.col("n"), F.col("toxic")
+    counted = rows.select("text", "y").mapInArrow(tidy(work), "term bigint, n bigint, toxic bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    chi = (toxic - n * share) * (toxic - n * share) / (n * share * (1 - share))
+    best = counted.where(n >= LEAST).select("term", chi.alias("chi")).where("chi > 0").orderBy(F.desc("chi"), "term").limit(TERMS)
+    return np.sort(np.array([r["term"] for r in best.select("term").collect()], np.int64))
+
+
+def collected(rows: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the chosen terms each text has (a bit for each), and its label, in the order of the ids."""
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("there", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for t in b.column(1):
-                words = set(_WORD.findall((t.as_py() or "").lower()))
-                found.append(np.unique(np.array([x for w in words for x in term_ids(w)], np.uint32)).tobytes())
+            found = [np.packbits(np.isin(chosen, terms_of(t.as_py()), assume_unique=True)).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], schema=schema)
 
-    got = {r["doc_id"]: (np.frombuffer(bytes(r["terms"]), np.uint32), r["y"]) for r in rows.mapInArrow(tidy(work), "doc_id bigint, y int, terms binary").toLocalIterator()}
-    ordered = [got[k] for k in sorted(got)]
-    return [t for t, _ in ordered], np.array([y for _, y in ordered], np.float64)
+    got = sorted(((r["doc_id"], r["y"], bytes(r["there"])) for r in rows.select("doc_id", "text", "y").mapInArrow(tidy(work), "doc_id bigint, y int, there binary").toLocalIterator()))
+    x = np.array([np.unpackbits(np.frombuffer(t, np.uint8), count=len(chosen)) for _, _, t in got], np.uint8).reshape(len(got), len(chosen))
+    return x, np.array([y for _, y, _ in got], np.float64)
 
 
 def fit(terms: list[np.ndarray], y: np.ndarray, positive: int, negative: int) -> Model:
-    constant = math.log((positive + 1) / (negative + 2))
-    none = np.zeros(0, np.int64)
-    if not len(y) or y.min() == y.max():
-        return Model(constant, none, np.zeros(0), np.zeros((0, FACTORS)))
+    """From texts' term ids that are at hand."""
     every, n = np.unique(np.concatenate(terms), return_counts=True)
     toxic = np.zeros(len(every))
     for t, label in zip(terms, y, strict=True):
@@ -135,6 +159,14 @@ def fit(terms: list[np.ndarray], y: np.ndarray, positive: int, negative: int) ->
     x = np.zeros((len(y), len(chosen)), np.uint8)
     for k, t in enumerate(terms):
         x[k, np.isin(chosen, t, assume_unique=True)] = 1
+    return trained(chosen, x, y, positive, negative)
+
+
+def trained(chosen: np.ndarray, x: np.ndarray, y: np.ndarray, positive: int, negative: int) -> Model:
+    """The machine for texts (rows of x) that have the chosen terms or not."""
+    constant = math.log((positive + 1) / (negative + 2))
+    if not len(y) or y.min() == y.max():
+        return Model(constant, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
     rng = np.random.default_rng(SEED)
     w, v = np.zeros(len(chosen)), 0.01 * rng.standard_normal((len(chosen), FACTORS))
     kind = np.where(y > 0, positive / max(1, y.sum()), negative / max(1, (1 - y).sum()))
@@ -159,7 +191,12 @@ def fit(terms: list[np.ndarray], y: np.ndarray, positive: int, negative: int) ->
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rows, positive, negative = sample(docs, labels)
-    return fit(*collected(rows), positive, negative)
+    tables = Tables(docs.sparkSession, "toxicity")
+    rows = tables.keep(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")), "sample")  # one row for each id
+    chosen = chosen_terms(rows)
+    model = trained(chosen, *collected(rows, chosen), positive, negative)
+    tables.drop("sample")
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
