@@ -12,7 +12,8 @@ and no text either, so both tests would call every such number a secret. Two thi
 
 * Does it look drawn at random from that alphabet? Chi-squared of the alphabet's uniformity (symbols in as many bins as
   the length can bear), the runs above and below the alphabet's middle, and the serial correlation of neighbours. The
-  smallest of the three p-values, times three, must be over ``REJECT``.
+  smallest of the three p-values, times three, is the battery's. Benjamini and Hochberg's rule over those of the
+  document's candidates that pass the other test tells which are *not* random, with a share of ``REJECT`` wrongly so.
 * Could it be text? The likelihood under a model of text characters, over that under the uniform alphabet, bounds the
   p-value of "this is text" (Markov's inequality for likelihood ratios), and falls with each further character: short
   runs can't reach what long ones do. Benjamini and Hochberg's rule over the document's candidates holds the expected
@@ -137,6 +138,11 @@ def candidates(text: str) -> Iterator[tuple[int, int, int, dict[str, int] | None
                 yield x, y, m.end() if y == last else y, known[1] if known and known[0] != "decimal" else None
 
 
+def discoveries(p: list[float], share: float) -> int:
+    """How many of the smallest p-values Benjamini and Hochberg's rule takes, for this share of false ones."""
+    return max((k for k, x in enumerate(sorted(p), 1) if x <= share * k / len(p)), default=0)
+
+
 def random_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of candidates that are random rather than text; those that overlap are one."""
     if max(map(len, text.split()), default=0) < SHORTEST:
@@ -147,12 +153,10 @@ def random_spans(text: str) -> list[tuple[int, int, str]]:
         ratio = -len(run) * math.log(len(place)) - sum(map(_TEXT.__getitem__, run)) if place else 0.0
         tried.append((math.exp(-ratio) if ratio > 0 else 1.0, s, e, padded, place))
     tried.sort(key=lambda x: x[0])
-    found = 0
-    for k, (p, *_) in enumerate(tried, 1):
-        if p <= FALSE_SHARE * k / len(tried):
-            found = k
+    found = discoveries([p for p, *_ in tried], FALSE_SHARE)
     out: list[tuple[int, int, str]] = []
-    taken = [(s, padded) for _, s, e, padded, place in tried[:found] if place and 3 * min(battery([place[c] for c in text[s:e]], len(place))) > REJECT]
+    tested = [(min(1.0, 3 * min(battery([place[c] for c in text[s:e]], len(place)))), s, padded) for _, s, e, padded, place in tried[:found] if place]
+    taken = [(s, padded) for _, s, padded in sorted(tested)[discoveries([p for p, *_ in tested], REJECT) :]]
     for s, e in sorted(taken):
         if out and s < out[-1][1]:
             s, e = out[-1][0], max(e, out.pop()[1])
