@@ -7,8 +7,9 @@ costs a language the logistic loss of its prediction, weighted by how often the
 for that language in learning. The cheapest codeword wins; the score is its share in the softmax of the negative costs, and a text whose
 two cheapest words are closer than ``MARGIN`` is flagged as ambiguous.
 
-The classifiers are learned on the driver from a bounded sample: at most about ``FIT_ROWS`` rows, spread evenly over the
-``MOST_LANGUAGES`` most frequent languages, chosen by hash of the id. Prediction reads whole texts.
+The classifiers are learned on the driver from a bounded sample: at most ``FIT_ROWS`` rows, spread evenly over all
+languages there are, or ``LEAST_ROWS`` a language where that is more, chosen by hash of the id; one row for each id. No
+language is left out. Prediction reads whole texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is all if nothing could be learned.
 Rows without an id are not held out and not learned from. Repeated rows get equal results.
@@ -22,13 +23,13 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import crc32_of, tidy
 
 BUCKETS = 1 << 13
-FIT_ROWS, MOST_LANGUAGES = 4000, 200
+FIT_ROWS, LEAST_ROWS = 4000, 8
 STEPS, RATE, PENALTY, SEED, MARGIN = 150, 20.0, 1e-5, 3, 0.5
 
 _LETTER = regex.compile(r"\p{L}")
@@ -107,12 +108,9 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Model:
 def learn(docs: DataFrame) -> Model:
     """From docs (doc_id, text, lang) outside the held-out part."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).where(crc32_of("doc_id") % 3 != 1)
-    found = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in found)
-    each = FIT_ROWS / max(1, len(languages))
-    chance = F.lit(None)
-    for r in found:
-        chance = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, each / r["n"]))).otherwise(chance)
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
+    each = max(FIT_ROWS // max(1, len(languages)), LEAST_ROWS)
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("places", pa.binary()), ("n", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,17 +123,22 @@ def learn(docs: DataFrame) -> Model:
                 numbers.append(c[there].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(places, pa.binary()), pa.array(numbers, pa.binary())], schema=schema)
 
-    if not found:
+    if not languages:
         return Model([], np.zeros((0, 0)), np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros((0, 0)))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < chance * (1 << 30)).select("doc_id", "text", "lang")
+    # first by chance, twice as many as are needed; then exactly, among these few
+    order = F.xxhash64("doc_id")
+    likely = known.join(sizes, "lang").where(F.pmod(order, F.lit(1 << 30)) < (F.least(F.lit(1.0), (2 * each + 20) / F.col("n")) * (1 << 30)).cast("bigint"))
+    likely = likely.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1 << 30)), "doc_id")
+    chosen = likely.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).select("doc_id", "text", "lang")
     got = sorted(chosen.mapInArrow(tidy(work), "doc_id bigint, lang string, places binary, n binary").toLocalIterator(), key=lambda r: (r["doc_id"], r["lang"], r["places"]))
-    got = got[: 2 * FIT_ROWS]
+    number = {name: k for k, name in enumerate(languages)}
     x = np.zeros((len(got), BUCKETS), np.float32)
     for k, r in enumerate(got):
         c = np.zeros(BUCKETS, np.int64)
         c[np.frombuffer(bytes(r["places"]), np.uint16)] = np.frombuffer(bytes(r["n"]), np.uint32)
         x[k] = features(c)
-    y = np.array([languages.index(r["lang"]) for r in got], np.int64)
+    y = np.array([number[r["lang"]] for r in got], np.int64)
     return fit(x, y, languages)
 
 
