@@ -108,8 +108,8 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Model:
 def learn(docs: DataFrame) -> Model:
     """From docs (doc_id, text, lang) outside the held-out part."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).where(crc32_of("doc_id") % 3 != 1)
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
+    sizes = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
+    languages = sorted(name for name, _ in sizes)
     each = max(FIT_ROWS // max(1, len(languages)), LEAST_ROWS)
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("places", pa.binary()), ("n", pa.binary())])
 
@@ -127,7 +127,8 @@ def learn(docs: DataFrame) -> Model:
         return Model([], np.zeros((0, 0)), np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros((0, 0)))
     # first by chance, twice as many as are needed; then exactly, among these few
     order = F.xxhash64("doc_id")
-    likely = known.join(sizes, "lang").where(F.pmod(order, F.lit(1 << 30)) < (F.least(F.lit(1.0), (2 * each + 20) / F.col("n")) * (1 << 30)).cast("bigint"))
+    shares = docs.sparkSession.createDataFrame(sizes, "lang string, n bigint")  # a row a language: the driver holds them anyway
+    likely = known.join(F.broadcast(shares), "lang").where(F.pmod(order, F.lit(1 << 30)) < (F.least(F.lit(1.0), (2 * each + 20) / F.col("n")) * (1 << 30)).cast("bigint"))
     likely = likely.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     first = Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1 << 30)), "doc_id")
     chosen = likely.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).select("doc_id", "text", "lang")
