@@ -61,9 +61,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, on one machine, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir, the folder that driver and executors share, is not set")
         found = getattr(spark.sparkContext, "_quarry_dir", None)
         if not found:
             found = spark.sparkContext._quarry_dir = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
