@@ -163,6 +163,11 @@ class Changes:
 
     def turns(self, table: Table, rows: DataFrame) -> DataFrame:
         """rows with _turn, their place among those that they are connected with by equal keys, of whichever key."""
+        if len(table.keys()) == 1:
+            key = table.keys()[0]
+            known = reduce(lambda a, b: a & b, (F.col(f"`{c}`").isNotNull() for c in key.columns))
+            turn = Window.partitionBy(*self.key_columns(table, key.columns, "k"), F.when(~known, F.col(ROW))).orderBy(ROW)
+            return rows.withColumn("_turn", F.row_number().over(turn))
         label = "_of"
         known = {key.name: reduce(lambda a, b: a & b, (F.col(f"`{c}`").isNotNull() for c in key.columns)) for key in table.keys()}
         marked = rows.withColumn(label, F.col(ROW))
@@ -171,9 +176,6 @@ class Changes:
             for key in table.keys():
                 same = Window.partitionBy(*self.key_columns(table, key.columns, "k"), F.when(~known[key.name], F.col(ROW)))
                 least = least.withColumn(label, F.when(known[key.name], F.min(label).over(same)).otherwise(F.col(label)))
-            if len(table.keys()) < 2:
-                marked = least
-                break
             least = self.store.keep(least, "turns")
             if least.agg(F.sum(F.col(label).cast("decimal(38,0)"))).first() == marked.agg(F.sum(F.col(label).cast("decimal(38,0)"))).first():
                 break
@@ -184,15 +186,18 @@ class Changes:
         """Rows with new keys go in, others change the row that has the first of their keys; rows that meet on a key take turns."""
         turns = self.turns(table, rows)
         count = 0
-        for k in range(1, (turns.agg(F.max("_turn")).first()[0] or 0) + 1):
-            now = self.held(table, turns.where(F.col("_turn") == k).drop("_turn"))
+        most = turns.agg(F.max("_turn")).first()[0] or 0
+        for k in range(1, most + 1):
+            now = rows if most == 1 else self.held(table, turns.where(F.col("_turn") == k).drop("_turn"))
             for other in table.keys():
                 there = self.store.read(table)
                 hit = self.held(table, self.matching(table, now, there, other, "left_semi"))
+                if hit.isEmpty():
+                    continue
                 now = self.held(table, self.matching(table, now, there, other, "left_anti"))
-                if hit.limit(1).count():
-                    count += update(table, hit, other)
-            count += self.insert(table, now)
+                count += update(table, hit, other)
+            if not now.isEmpty():
+                count += self.insert(table, now)
         return count
 
     # changing

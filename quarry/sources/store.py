@@ -369,7 +369,7 @@ class Store:
             rows = changed if rows is None else rows.unionByName(changed.select(*rows.columns))
         if rows is not None:
             folder = self.write(table, rows)
-            if not self.spark.read.schema(table.schema()).parquet(folder).isEmpty():
+            if changed is not None or not self.spark.read.schema(table.schema()).parquet(folder).isEmpty():
                 kept.append(folder)
         table.folders = kept
 
