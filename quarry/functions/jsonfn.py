@@ -2,6 +2,10 @@
 
 Spark's own JSON functions unquote strings, keep argument order and can't edit, so these are Arrow-batched Python UDFs.
 Documents and scalars are told apart by the front end: arguments that are not documents come as JSON text already.
+
+Reading a column at a literal path of member names, the common case, stays in the JVM (``Held``): documents that Spark's
+variants hold exactly as these functions do are read as variants, and Python sees nulls in their place; only the others,
+with fractions, escapes and the like, or no JSON at all, are left to the UDFs.
 """
 
 from __future__ import annotations
@@ -9,13 +13,18 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.scalar import literal
+
 MOST_LEGS, MOST_PATH, MOST_DEPTH = 100, 4096, 100
 MISSING = object()
+_HALF = re.compile("[\ud800-\udfff]")
 _LEG = re.compile(r"""\s*(?:\.\s*(?:(\*)|"((?:[^"\\]|\\.)*)"|([^\W\d][\w$]*))|\[\s*(?:(\*)|(\d+))\s*\])""")
 
 
@@ -28,7 +37,8 @@ class JsonError(ValueError):
 
 
 def dump(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    """Halves of surrogate pairs stay escaped: they are no text."""
+    return _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")))
 
 
 def depth(value: object) -> int:
@@ -150,7 +160,7 @@ def json_extract(doc: str, *paths: str) -> str | None:
 def json_unquote(text: str) -> str:
     if len(text) > 1 and text[0] == text[-1] == '"':
         value = load(text)
-        return value if isinstance(value, str) else text
+        return _HALF.sub("\ufffd", value) if isinstance(value, str) else text
     return text
 
 
@@ -253,15 +263,76 @@ def by_row(name: str, rows: Iterable[tuple]) -> list[object]:
     return out
 
 
-def _bound(name: str) -> Callable[[pd.Series], pd.Series]:
-    def run(args: pd.Series) -> pd.Series:
-        return pd.Series(by_row(name, (tuple(a) for a in args)), dtype=object)
+def _bound(name: str) -> Callable[[pa.Array], pa.Array]:
+    _, least, _, kind, _, values = FUNCTIONS[name]
+    made = pa.string() if kind == "string" else pa.int64()
+
+    def run(args: pa.Array) -> pa.Array:
+        if least and values != "all" and pc.list_element(args, 0).null_count == len(args):
+            return pa.nulls(len(args), made)
+        return pa.array(by_row(name, args.to_pylist()), made)
 
-    run.__annotations__ = {"args": pd.Series, "return": pd.Series}
+    run.__annotations__ = {"args": pa.Array, "return": pa.Array}
     return run
 
 
 def register(spark: SparkSession) -> None:
     """All of them as SQL functions: quarry_json_...(array of texts)."""
     for name, (_, _, _, kind, _, _) in FUNCTIONS.items():
-        spark.udf.register(f"quarry_{name.lower()}", F.pandas_udf(_bound(name), kind))
+        spark.udf.register(f"quarry_{name.lower()}", F.arrow_udf(_bound(name), kind))
+
+
+#: What keeps a text out of variants: fractions, exponents, numbers beyond 64 bits, escapes, characters beyond 16 bits.
+_ODD = literal(r"[0-9][.eE]|[0-9]{19}|\\|[^\x{0}-\x{FFFF}]")
+#: An element after the document, which no text without escapes can hold, shows that all of the text was one document.
+_AFTER = literal(',"\\u0001"]')
+
+
+@dataclass(frozen=True)
+class Held:
+    """The value at a path of member names in a column of documents. slow: the same by the UDFs, null where variants serve."""
+
+    column: str
+    path: str = ""
+    slow: str = ""
+
+    @property
+    def whole(self) -> str:
+        return f"try_parse_json(concat('[', {self.column}, {_AFTER}))"
+
+    @property
+    def plain(self) -> str:
+        """Whether the document can be read as a variant."""
+        brackets = f"char_length({self.column}) - char_length(translate({self.column}, '[{{', ''))"
+        return f"coalesce(try_variant_get({self.whole}, '$[1]', 'string') = '\\u0001' AND NOT ({self.column} RLIKE {_ODD}) AND {brackets} < {MOST_DEPTH}, FALSE)"
+
+    @property
+    def rest(self) -> str:
+        return self.slow or f"(CASE WHEN {self.plain} THEN NULL ELSE {self.column} END)"
+
+    @property
+    def text(self) -> str:
+        return f"to_json(try_variant_get({self.whole}, '$[0]{self.path}', 'variant'))"
+
+    def at(self, path: str) -> Held | None:
+        """path: a literal's text in Spark SQL; None unless it is made of plain names."""
+        m = re.fullmatch(r"'\$((?:\.[A-Za-z_][A-Za-z0-9_]*)*)'", path)
+        return m and Held(self.column, self.path + m[1], f"quarry_json_extract(array({self.rest}, {path}))")
+
+    def call(self, name: str) -> str | None:
+        """A function of the value, None if there is no other way than the UDF."""
+        x = self.text
+        if name == "JSON_VALID" and self.path:
+            return None
+        made = {
+            "JSON_EXTRACT": x,
+            "JSON_VALID": "1L",
+            "JSON_TYPE": f"(CASE left({x}, 1) WHEN '{{' THEN 'OBJECT' WHEN '[' THEN 'ARRAY' WHEN '\"' THEN 'STRING' WHEN 'n' THEN 'NULL' WHEN 't' THEN 'BOOLEAN' WHEN 'f' THEN 'BOOLEAN' ELSE if({x} IS NULL, NULL, 'INTEGER') END)",
+            "JSON_LENGTH": f"CAST(CASE left({x}, 1) WHEN '{{' THEN array_size(json_object_keys({x})) WHEN '[' THEN json_array_length({x}) ELSE if({x} IS NULL, NULL, 1) END AS BIGINT)",
+            "JSON_KEYS": f"(CASE WHEN left({x}, 1) = '{{' THEN to_json(array_sort(json_object_keys({x}))) END)",
+            "JSON_UNQUOTE": f"(CASE WHEN left({x}, 1) = '\"' THEN try_variant_get({self.whole}, '$[0]{self.path}', 'string') ELSE {x} END)",
+        }.get(name)
+        if made is None:
+            return None
+        slow = self.rest if name == "JSON_EXTRACT" else f"quarry_{name.lower()}(array({self.rest}))"
+        return f"(CASE WHEN {self.plain} THEN {made} ELSE {slow} END)"

@@ -229,6 +229,7 @@ class Changes:
         if not count:
             return 0
         self.store.rewrite(table, small(gone.select(ROW)), None)
+        table.rows = None if table.rows is None else table.rows - count
         self.follow(table, gone, None, depth)
         return count
 

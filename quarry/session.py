@@ -17,7 +17,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -364,7 +364,7 @@ class Session:
             t = self.table(table)
             if self.foreign_checks and [x for x, _ in self.changes(c, table).children(t) if x is not t]:
                 raise SqlError(f"(1701) table {t.name} is referenced by a foreign key")
-            t.folders, t.next_auto = [], 1
+            t.folders, t.next_auto, t.rows = [], 1, 0
 
         return self.changing(work)
 
@@ -504,19 +504,14 @@ class Session:
         return self.changing(work)
 
     def numbered(self, t: Table, rows: DataFrame, auto: Column, first: int) -> tuple[DataFrame, int]:
-        """AUTO_INCREMENT values, in order: counts of each partition, then the place within it."""
+        """AUTO_INCREMENT values, in order: counts of each partition (one row for each), then the place within it."""
         rows = self.changes(self.now, (None, t.name)).held(t, rows)
-        missing = rows.where(F.col(auto.name).isNull()).withColumn("_p", F.spark_partition_id())
-        before, total = {}, 0
-        for r in missing.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("r")).orderBy("r").collect():
-            before[r["_p"]], total = total, total + r["n"]
-        start = F.lit(0)
-        for p, n in before.items():
-            start = F.when(F.col("_p") == p, n).otherwise(start)
-        from pyspark.sql import Window
-
+        missing = rows.where(F.col(auto.name).isNull()).withColumn("_p", F.shiftright(ROW, 33))  # a row's number begins with its partition
+        counts = missing.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+        before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
+        total = counts.agg(F.sum("_n")).first()[0] or 0
         w = Window.partitionBy("_p").orderBy(ROW)
-        filled = missing.withColumn(auto.name, (F.lit(first) + start + F.row_number().over(w) - 1).cast(spark_type(auto.declared))).drop("_p")
+        filled = missing.join(before, "_p").withColumn(auto.name, (F.lit(first) + F.col("_before") + F.row_number().over(w) - 1).cast(spark_type(auto.declared))).drop("_p", "_before")
         most = rows.agg(F.max(auto.name)).first()[0]
         return rows.where(F.col(auto.name).isNotNull()).unionByName(filled), max(first + total, (most or 0) + 1)
 

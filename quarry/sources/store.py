@@ -82,6 +82,7 @@ class Table:
     next_auto: int = 1
     comment: str = ""
     external: str | None = None
+    rows: int | None = None  # None where it was never counted
 
     def column(self, name: str) -> Column:
         for c in self.columns:
@@ -329,6 +330,18 @@ class Store:
                 old, _ = self._fs(f"{self.root}/catalogue-{r}.json")
                 fs.delete(old, False)
 
+    def count(self, table: Table) -> int:
+        """As kept in the catalogue, else by Parquet's footers."""
+        return table.rows if table.rows is not None and not table.external else self.read(table).count()
+
+    def size(self, table: Table) -> int:
+        """Bytes of the table's files."""
+        out = 0
+        for path in [table.external] if table.external else table.folders:
+            p, fs = self._fs(path)
+            out += fs.getContentSummary(p).getLength()
+        return out
+
     def read(self, table: Table) -> DataFrame:
         if table.external:
             return self.spark.read.parquet(table.external)
@@ -347,6 +360,8 @@ class Store:
         numbered = rows.withColumn(ROW, F.monotonically_increasing_id() + table.next_row)
         folder = self.write(table, numbered)
         count, last = self.spark.read.schema(table.schema()).parquet(folder).agg(F.count(F.lit(1)), F.max(ROW)).first()
+        before = 0 if not table.folders else table.rows
+        table.rows = None if before is None else before + count
         if count:
             table.folders.append(folder)
             table.next_row = last + 1
@@ -376,6 +391,6 @@ class Store:
     def replace(self, table: Table, rows: DataFrame) -> None:
         """All rows anew; rows keep their numbers, rows without one get it."""
         folder = self.write(table, rows.withColumn(ROW, F.coalesce(ROW, F.monotonically_increasing_id() + table.next_row)))
-        last = self.spark.read.schema(table.schema()).parquet(folder).agg(F.max(ROW)).first()[0]
+        table.rows, last = self.spark.read.schema(table.schema()).parquet(folder).agg(F.count(F.lit(1)), F.max(ROW)).first()
         table.folders = [folder] if last is not None else []
         table.next_row = max(table.next_row, (last or 0) + 1)

@@ -45,3 +45,46 @@ def test_in_sql(spark):
     assert [tuple(r) for r in db.sql("SELECT JSON_EXTRACT(body, '$.n') AS n, body->>'$.s' AS s, JSON_ARRAY(body) AS a FROM t ORDER BY id").collect()] == [("9007199254740993", "é", '[{"n":9007199254740993,"s":"é"}]'), (None, None, "[null]")]
     with pytest.raises(ValueError, match="3140"):
         db.sql("INSERT INTO t VALUES (3, '{')")
+
+
+ODD = [
+    None, "", " ", "{", "{}", "[]", "[1", "null", "true", " false ", "5", "-0", "01", "1.50", "1e3", "NaN", "'x'", '"x"', '"a\\nb"', '"a\tb"', '"\\ud800"', "1 2", "1,2", "1],[2",
+    '{"k":1} x', '{"k":1,"k":2}', '{"k":null}', '{"k":{"z":1,"b":[2,{}],"k":"q"}}', ' {"z" : [1, 2] , "k" : "é"} ', '{"k":1.0}', '{"k":12345678901234567890}', '{"k":[1,2,3]}', '{"K":1}', '{"k":{"k":{"k":true}}}',
+    '{"\U0001f600":1,"￮":2}', '[{"k":1}]', "[" * 101 + "]" * 101, '{"k":"' + "long " * 5000 + '"}', '1,"\u0001"]', '1,"\\u0001"]', "﻿{}",
+]
+CALLS = {
+    "JSON_EXTRACT(d, '$')": lambda d: j.json_extract(d, "$"),
+    "JSON_EXTRACT(d, '$.k')": lambda d: j.json_extract(d, "$.k"),
+    "JSON_EXTRACT(JSON_EXTRACT(d, '$.k'), '$.k')": lambda d: (lambda x: None if x is None else j.json_extract(x, "$.k"))(j.json_extract(d, "$.k")),
+    "d->>'$.k'": lambda d: (lambda x: None if x is None else j.json_unquote(x))(j.json_extract(d, "$.k")),
+    "JSON_VALID(d)": j.json_valid,
+    "JSON_TYPE(d)": j.json_type,
+    "JSON_TYPE(JSON_EXTRACT(d, '$.k'))": lambda d: (lambda x: None if x is None else j.json_type(x))(j.json_extract(d, "$.k")),
+    "JSON_LENGTH(d)": j.json_length,
+    "JSON_LENGTH(d, '$.k')": lambda d: j.json_length(d, "$.k"),
+    "JSON_KEYS(d)": j.json_keys,
+    "JSON_KEYS(d, '$.k')": lambda d: j.json_keys(d, "$.k"),
+    "JSON_DEPTH(d)": j.json_depth,
+}
+
+
+@pytest.mark.parametrize("collation", ["utf8mb4_bin", "utf8mb4_general_ci"])
+def test_variants_agree_with_functions(spark, tmp_path, collation):
+    db = Session(spark, collation_name=collation)
+    spark.createDataFrame(list(enumerate(ODD)), "n int, d string").write.parquet(f"{tmp_path}/odd")
+    db.attach("odd", f"{tmp_path}/odd")
+    for text, made in CALLS.items():
+        checked = text == "JSON_VALID(d)"
+        out = db.sql(f"SELECT n, {text} AS x FROM odd" if checked else f"SELECT n, {text} AS x FROM (SELECT n, IF(JSON_VALID(d), d, NULL) AS d FROM odd) t").collect()
+        wanted = {k: None if d is None or not (checked or j.json_valid(d)) else made(d) for k, d in enumerate(ODD)}
+        assert {r["n"]: r["x"] for r in out} == wanted, text
+
+
+def test_variants_serve_plain_documents(spark, tmp_path):
+    db = Session(spark)
+    spark.createDataFrame([('{"k":"x"}',)], "d string").write.parquet(f"{tmp_path}/plain")
+    db.attach("plain", f"{tmp_path}/plain")
+    assert "try_variant_get" in db.translated("SELECT JSON_EXTRACT(d, '$.k') AS x FROM plain")
+    with pytest.raises(Exception, match="3141"):
+        spark.createDataFrame([('{"k":',)], "d string").write.mode("append").parquet(f"{tmp_path}/plain")
+        db.sql("SELECT JSON_EXTRACT(d, '$.k') AS x FROM plain").collect()
