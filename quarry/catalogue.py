@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators import relational as r
-from quarry.session import Session
+from quarry.plans.lexer import SqlError
+from quarry.session import Session, scratch
 from quarry.streaming import windows
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -179,6 +180,49 @@ QUERIES: dict[str, Query] = {
     "comments_and_literals": Query("SELECT n_nationkey AS k, \"it's\" AS q -- tail\n FROM nation # more\n /* and more */ WHERE n_nationkey < 3", "SELECT n_nationkey AS k, 'it''s' AS q FROM nation WHERE n_nationkey < 3"),
     "agg_limit_zero": Query("SELECT COUNT(*) AS n FROM nation LIMIT 0", "SELECT COUNT(*) AS n FROM nation LIMIT 0"),
     "win_case_blind": Query("SELECT n, COUNT(*) OVER (PARTITION BY s) AS c FROM (SELECT n_nationkey AS n, CASE WHEN n_nationkey % 2 = 0 THEN 'a' ELSE 'A' END AS s FROM nation) t", "SELECT n_nationkey AS n, CASE WHEN n_nationkey % 2 = 0 THEN (SELECT COUNT(*) FROM nation WHERE n_nationkey % 2 = 0) ELSE (SELECT COUNT(*) FROM nation WHERE n_nationkey % 2 = 1) END AS c FROM nation"),
+    "point_get_const": Query("CREATE TABLE t (k INT PRIMARY KEY, name VARCHAR(30) UNIQUE, r INT, KEY by_r (r)); INSERT INTO t SELECT n_nationkey, n_name, n_regionkey FROM nation; SELECT name, r FROM t WHERE k = 7", "SELECT n_name AS name, n_regionkey AS r FROM nation WHERE n_nationkey = 7"),
+    "point_get_unique": Query("CREATE TABLE t (k INT PRIMARY KEY, name VARCHAR(30) UNIQUE, r INT, KEY by_r (r)); INSERT INTO t SELECT n_nationkey, n_name, n_regionkey FROM nation; SELECT k, r FROM t WHERE name = 'NATION_7'", "SELECT n_nationkey AS k, n_regionkey AS r FROM nation WHERE n_name = 'NATION_7'"),
+    "index_ref": Query("CREATE TABLE t (k INT PRIMARY KEY, name VARCHAR(30) UNIQUE, r INT, KEY by_r (r)); INSERT INTO t SELECT n_nationkey, n_name, n_regionkey FROM nation; SELECT r, k FROM t WHERE r = 2 AND k > 5", "SELECT n_regionkey AS r, n_nationkey AS k FROM nation WHERE n_regionkey = 2 AND n_nationkey > 5"),
+    "index_order": Query("CREATE TABLE t (k INT PRIMARY KEY, name VARCHAR(30) UNIQUE, r INT, KEY by_r (r)); INSERT INTO t SELECT n_nationkey, n_name, n_regionkey FROM nation; SELECT k FROM t WHERE k BETWEEN 4 AND 19 ORDER BY k DESC LIMIT 5", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey BETWEEN 4 AND 19 ORDER BY 1 DESC LIMIT 5"),
+    "select_in_parentheses": Query("(SELECT n_nationkey AS k FROM nation ORDER BY n_nationkey DESC LIMIT 3) UNION ALL (SELECT r_regionkey FROM region)"),
+    "operators_more": Query("SELECT p_partkey, (p_size > 10) XOR (p_size < 20) AS x, p_size DIV 7 AS d, p_size MOD 7 AS m, p_size & 12 AS a, p_name REGEXP '^P' AS r, CAST(p_size AS CHAR) AS c, p_size > 40 || p_size < 3 AS o FROM part", "SELECT p_partkey, (p_size > 10) <> (p_size < 20) AS x, CAST(p_size // 7 AS BIGINT) AS d, p_size % 7 AS m, p_size & 12 AS a, regexp_matches(p_name, '^P') AS r, CAST(p_size AS VARCHAR) AS c, p_size > 40 OR p_size < 3 AS o FROM part"),
+    "now_precision": Query("SELECT NOW() <= NOW(6) AS a, SECOND(NOW(0)) BETWEEN 0 AND 59 AS b, DATE(NOW()) = CURDATE() AS c, DATEDIFF(CURRENT_DATE(), CURDATE()) AS d", "SELECT TRUE AS a, TRUE AS b, TRUE AS c, CAST(0 AS BIGINT) AS d"),
+    "fn_date_letters": Query("SELECT event_id, DATE_FORMAT(ts, '%c %d %e %k %l %h %I %p') AS a, DATE_FORMAT(ts, '%S %s %f %T') AS b, DATE_FORMAT(ts, '%r') AS c, DATE_FORMAT(ts, '%a %b %w %j') AS d, DATE_FORMAT(ts, '%H%i') AS e FROM events", "SELECT event_id, month(ts) || strftime(ts, ' %d ') || day(ts) || ' ' || hour(ts) || ' ' || ((hour(ts) + 11) % 12 + 1) || strftime(ts, ' %I %I %p') AS a, strftime(ts, '%S %S %f %H:%M:%S') AS b, strftime(ts, '%I:%M:%S %p') AS c, strftime(ts, '%a %b %w %j') AS d, strftime(ts, '%H%M') AS e FROM events"),
+    "json_paths": Query("SELECT JSON_EXTRACT('{\"a\": [1, {\"b\": 2}], \"c d\": 3}', '$.a[*]') AS a, JSON_EXTRACT('{\"a\": [1, {\"b\": 2}], \"c d\": 3}', '$.\"c d\"') AS b, JSON_EXTRACT('{\"x\": 1, \"b\": [2]}', '$.*') AS c, JSON_EXTRACT('[1, [2]]', '$[1][0]', '$[9]') AS d, JSON_CONTAINS_PATH('{\"a\": 1}', 'all', '$.a', '$.b') AS e", "SELECT '[1,{\"b\":2}]' AS a, '3' AS b, '[[2],1]' AS c, '[2]' AS d, CAST(0 AS BIGINT) AS e"),
+    "json_read": Query("SELECT event_id, JSON_KEYS(props) AS keys, JSON_LENGTH(props, '$.k') AS n, JSON_DEPTH(props) AS d, JSON_UNQUOTE(JSON_EXTRACT(props, '$.k')) AS k, JSON_TYPE(props) AS t FROM events", "SELECT event_id, replace(CAST(to_json(list_sort(json_keys(props))) AS VARCHAR), ' ', '') AS keys, CASE WHEN json_exists(props, '$.k') THEN CAST(1 AS BIGINT) END AS n, CAST(2 AS BIGINT) AS d, json_extract_string(props, '$.k') AS k, 'OBJECT' AS t FROM events"),
+    "subqueries_in_changes": Query("CREATE TABLE t (k INT PRIMARY KEY, x BIGINT); INSERT INTO t VALUES ((SELECT MAX(r_regionkey) FROM region), 1), (50, (SELECT COUNT(*) FROM nation)); INSERT INTO t SET k = (SELECT 60), x = 0; UPDATE t SET x = (SELECT COUNT(*) FROM region) WHERE k IN (SELECT r_regionkey FROM region); INSERT INTO t VALUES (60, 5) ON DUPLICATE KEY UPDATE x = VALUES(x) + (SELECT MAX(n_nationkey) FROM nation); SELECT k, x FROM t", "SELECT CAST((SELECT MAX(r_regionkey) FROM region) AS INTEGER) AS k, (SELECT COUNT(*) FROM region) AS x UNION ALL SELECT 50, (SELECT COUNT(*) FROM nation) UNION ALL SELECT 60, CAST(5 + (SELECT MAX(n_nationkey) FROM nation) AS BIGINT)"),
+    "compact_and_collect": Query("CREATE TABLE t (k INT PRIMARY KEY); INSERT INTO t SELECT n_nationkey FROM nation; INSERT INTO t VALUES (100), (101); DELETE FROM t WHERE k IN (3, 100); COMPACT TABLE t; GC MVCC; SELECT k FROM t", "SELECT CAST(n_nationkey AS INTEGER) AS k FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 101"),
+    "collect_in_transaction": Query("CREATE TABLE t (k INT); BEGIN; INSERT INTO t VALUES (1), (2); GC MVCC; COMMIT; GC MVCC; SELECT k FROM t", "SELECT * FROM (VALUES (1), (2)) v(k)"),
+    "databases": Query("CREATE DATABASE o; CREATE TABLE o.t (a INT); CREATE DATABASE p; DROP DATABASE p; DROP DATABASE IF EXISTS q; SHOW DATABASES", "SELECT * FROM (VALUES ('information_schema'), ('o'), ('quarry')) v(\"Database\")"),
+    "index_definitions": Query("CREATE TABLE t (a INT, b INT, c INT); CREATE UNIQUE INDEX u ON t (a, b); CREATE INDEX i ON t (b); CREATE INDEX j ON t (c); DROP INDEX i ON t; SELECT INDEX_NAME AS name, COLUMN_NAME AS col, SEQ_IN_INDEX AS place, NON_UNIQUE AS many FROM information_schema.statistics WHERE TABLE_SCHEMA = 'quarry'", "SELECT * FROM (VALUES ('u', 'a', 1, 0), ('u', 'b', 2, 0), ('j', 'c', 1, 1)) v(name, col, place, many)"),
+    "drop_tables": Query("CREATE TABLE a (x INT); CREATE TABLE b (x INT); CREATE TABLE c (x INT); DROP TABLE a, b; DROP TABLE IF EXISTS z; SHOW TABLES", "SELECT 'c' AS Tables_in_quarry"),
+    "create_like": Query("CREATE TABLE t (a INT PRIMARY KEY AUTO_INCREMENT, b INT DEFAULT 4); INSERT INTO t (b) VALUES (1); CREATE TABLE u LIKE t; INSERT INTO u (a) VALUES (NULL), (NULL); SELECT a, b FROM u", "SELECT * FROM (VALUES (1, 4), (2, 4)) v(a, b)"),
+    "auto_increment_many": Query("CREATE TABLE t (id BIGINT PRIMARY KEY AUTO_INCREMENT, k BIGINT); INSERT INTO t (k) SELECT o_orderkey FROM orders; SELECT MIN(id) AS lo, MAX(id) AS hi, COUNT(DISTINCT id) AS n, COUNT(DISTINCT k) AS k FROM t", "SELECT CAST(1 AS BIGINT) AS lo, COUNT(*) AS hi, COUNT(*) AS n, COUNT(DISTINCT o_orderkey) AS k FROM orders"),
+    "isolation_level": Query("SET SESSION TRANSACTION ISOLATION LEVEL READ COMMITTED; SELECT @@transaction_isolation AS level", "SELECT 'READ-COMMITTED' AS level"),
+    "session_settings": Query("SET NAMES utf8mb4 COLLATE utf8mb4_bin; SET foreign_key_checks = 0; SELECT @@collation_connection AS c, @@foreign_key_checks AS f, DATABASE() AS d", "SELECT 'utf8mb4_bin' AS c, 0 AS f, 'quarry' AS d"),
+    "show_variables": Query("SHOW VARIABLES LIKE 'tx_iso%'", "SELECT 'tx_isolation' AS Variable_name, 'REPEATABLE-READ' AS Value"),
+    "show_collation": Query("SHOW COLLATION LIKE 'latin1%'", "SELECT * FROM (VALUES ('latin1_swedish_ci', 'latin1'), ('latin1_general_ci', 'latin1'), ('latin1_bin', 'latin1')) v(\"Collation\", Charset)"),
+    "show_character_sets": Query("SHOW CHARACTER SET WHERE Charset = 'ascii'", "SELECT 'ascii' AS Charset, 'ascii_general_ci' AS \"Default collation\""),
+    "show_engines": Query("SHOW ENGINES", "SELECT 'Quarry' AS Engine, 'DEFAULT' AS Support, 'versioned Parquet tables' AS Comment, 'YES' AS Transactions"),
+    "show_columns": Query("CREATE TABLE t (a INT PRIMARY KEY AUTO_INCREMENT, b VARCHAR(9) NOT NULL DEFAULT 'x', c DECIMAL(8,2) UNIQUE, d INT COMMENT 'note', KEY (d)); SHOW FULL COLUMNS FROM t", "SELECT * FROM (VALUES ('a', 'int', 'NO', 'PRI', NULL, 'auto_increment', ''), ('b', 'varchar(9)', 'NO', '', '''x''', '', ''), ('c', 'decimal(8,2)', 'YES', 'UNI', NULL, '', ''), ('d', 'int', 'YES', 'MUL', NULL, '', 'note')) v(Field, Type, \"Null\", \"Key\", \"Default\", Extra, Comment)"),
+    "show_index": Query("CREATE TABLE t (a INT PRIMARY KEY, b INT, UNIQUE KEY u (b, a)); SHOW INDEX FROM t", "SELECT * FROM (VALUES ('t', 0, 'PRIMARY', 1, 'a', 'A', 'BTREE', ''), ('t', 0, 'u', 1, 'b', 'A', 'BTREE', ''), ('t', 0, 'u', 2, 'a', 'A', 'BTREE', '')) v(\"Table\", Non_unique, Key_name, Seq_in_index, Column_name, \"Collation\", Index_type, Index_comment)"),
+    "show_create": Query("CREATE TABLE t (a INT PRIMARY KEY, b INT DEFAULT 2, CHECK (b > 0)); SHOW CREATE TABLE t", "SELECT 't' AS \"Table\", 'CREATE TABLE `t` (' || chr(10) || '  `a` int NOT NULL,' || chr(10) || '  `b` int DEFAULT 2,' || chr(10) || '  PRIMARY KEY (`a`),' || chr(10) || '  CONSTRAINT `check_1` CHECK (b > 0)' || chr(10) || ')' AS \"Create Table\""),
+    "information_schemata": Query("CREATE DATABASE o; SELECT SCHEMA_NAME AS name FROM information_schema.schemata", "SELECT * FROM (VALUES ('o'), ('quarry')) v(name)"),
+    "information_rows": Query("CREATE TABLE t AS SELECT n_nationkey AS k FROM nation; INSERT INTO t VALUES (100), (101); DELETE FROM t WHERE k < 3; UPDATE t SET k = k + 1; SELECT TABLE_ROWS AS n, DATA_LENGTH > 0 AS stored FROM information_schema.tables WHERE TABLE_NAME = 't'", "SELECT COUNT(*) - 1 AS n, TRUE AS stored FROM nation"),
+    "information_constraints": Query("CREATE TABLE p (k INT PRIMARY KEY); CREATE TABLE c (k INT UNIQUE, p INT, CONSTRAINT f FOREIGN KEY (p) REFERENCES p (k) ON DELETE CASCADE, CONSTRAINT s CHECK (k > 0)); SELECT CONSTRAINT_NAME AS name, TABLE_NAME AS t, CONSTRAINT_TYPE AS kind FROM information_schema.table_constraints", "SELECT * FROM (VALUES ('PRIMARY', 'p', 'PRIMARY KEY'), ('k', 'c', 'UNIQUE'), ('f', 'c', 'FOREIGN KEY'), ('s', 'c', 'CHECK')) v(name, t, kind)"),
+    "information_references": Query("CREATE TABLE p (k INT PRIMARY KEY); CREATE TABLE c (p INT, CONSTRAINT f FOREIGN KEY (p) REFERENCES p (k) ON DELETE CASCADE); SELECT r.DELETE_RULE AS d, r.UPDATE_RULE AS u, k.COLUMN_NAME AS own, k.REFERENCED_TABLE_NAME AS parent, k.REFERENCED_COLUMN_NAME AS theirs FROM information_schema.referential_constraints r JOIN information_schema.key_column_usage k ON k.CONSTRAINT_NAME = r.CONSTRAINT_NAME", "SELECT 'CASCADE' AS d, 'RESTRICT' AS u, 'p' AS own, 'p' AS parent, 'k' AS theirs"),
+    "information_views": Query("CREATE VIEW v AS SELECT n_name FROM nation; SELECT v.TABLE_NAME AS name, v.IS_UPDATABLE AS u, t.TABLE_TYPE AS kind FROM information_schema.views v JOIN information_schema.tables t ON t.TABLE_NAME = v.TABLE_NAME", "SELECT 'v' AS name, 'NO' AS u, 'VIEW' AS kind"),
+    "information_checks": Query("CREATE TABLE t (a INT, CONSTRAINT c CHECK (a > 1)); SELECT CONSTRAINT_NAME AS name, CHECK_CLAUSE AS clause FROM information_schema.check_constraints", "SELECT 'c' AS name, 'a > 1' AS clause"),
+    "information_sets": Query("SELECT (SELECT COUNT(*) FROM information_schema.collations) AS c, (SELECT COUNT(*) FROM information_schema.character_sets) AS s, (SELECT ENGINE FROM information_schema.engines) AS e", "SELECT CAST(13 AS BIGINT) AS c, CAST(5 AS BIGINT) AS s, 'Quarry' AS e"),
+    "information_empty": Query("SELECT COUNT(*) AS n FROM information_schema.routines UNION ALL SELECT COUNT(*) AS n FROM information_schema.parameters UNION ALL SELECT COUNT(*) AS n FROM information_schema.triggers UNION ALL SELECT COUNT(*) AS n FROM information_schema.events UNION ALL SELECT COUNT(*) AS n FROM information_schema.partitions UNION ALL SELECT COUNT(*) AS n FROM information_schema.files UNION ALL SELECT COUNT(*) AS n FROM information_schema.tablespaces UNION ALL SELECT COUNT(*) AS n FROM information_schema.user_privileges UNION ALL SELECT COUNT(*) AS n FROM information_schema.schema_privileges UNION ALL SELECT COUNT(*) AS n FROM information_schema.table_privileges", "SELECT CAST(0 AS BIGINT) AS n FROM range(10)"),
+    "ci_range": Query("SELECT n_nationkey AS k FROM nation WHERE n_name BETWEEN 'nation_1' AND 'Nation_2'", "SELECT n_nationkey AS k FROM nation WHERE lower(n_name) BETWEEN 'nation_1' AND 'nation_2'", "utf8mb4_general_ci"),
+    "ci_in": Query("SELECT c_mktsegment IN ('building', 'Machinery') AS hit, COUNT(*) AS n FROM customer GROUP BY 1", "SELECT lower(c_mktsegment) IN ('building', 'machinery') AS hit, COUNT(*) AS n FROM customer GROUP BY 1", "utf8mb4_general_ci"),
+    "ci_distinct": Query("SELECT COUNT(DISTINCT k) AS n FROM (SELECT c_mktsegment AS k FROM customer UNION ALL SELECT LOWER(c_mktsegment) FROM customer) t", "SELECT COUNT(DISTINCT c_mktsegment) AS n FROM customer", "utf8mb4_general_ci"),
+    "ci_order": Query("SELECT k FROM (SELECT n_nationkey AS k, IF(n_nationkey % 2 = 0, n_name, LOWER(n_name)) AS name FROM nation) t ORDER BY name, k LIMIT 6", "SELECT n_nationkey AS k FROM nation ORDER BY lower(n_name), 1 LIMIT 6", "utf8mb4_general_ci"),
+    "ci_pricing": Query("SELECT LOWER(l_returnflag) AS f, LOWER(l_linestatus) AS s, COUNT(*) AS n, SUM(l_quantity) AS q FROM lineitem WHERE l_returnflag <> 'a' GROUP BY l_returnflag, l_linestatus", "SELECT lower(l_returnflag) AS f, lower(l_linestatus) AS s, COUNT(*) AS n, SUM(l_quantity) AS q FROM lineitem WHERE lower(l_returnflag) <> 'a' GROUP BY 1, 2", "utf8mb4_general_ci"),
+    "ci_case": Query("SELECT c_custkey, CASE c_mktsegment WHEN 'building' THEN 1 WHEN 'Machinery' THEN 2 ELSE 3 END AS k, NULLIF(c_mktsegment, 'building') IS NULL AS b, LOCATE('u', c_mktsegment) AS l FROM customer", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 3 END AS k, c_mktsegment = 'BUILDING' AS b, instr(c_mktsegment, 'u') AS l FROM customer", "utf8mb4_general_ci"),
+    "ci_window": Query("SELECT k, RANK() OVER (PARTITION BY s ORDER BY k) AS r FROM (SELECT c_custkey AS k, IF(c_custkey % 2 = 0, c_mktsegment, LOWER(c_mktsegment)) AS s FROM customer) t", "SELECT c_custkey AS k, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer", "utf8mb4_general_ci"),
+    "ci_update": Query("CREATE TABLE t (k INT PRIMARY KEY, s VARCHAR(30)); INSERT INTO t SELECT c_custkey, c_mktsegment FROM customer; UPDATE t SET k = -k WHERE s = 'building'; DELETE FROM t WHERE s IN ('MACHINERY', 'household'); SELECT k FROM t", "SELECT CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN -c_custkey ELSE c_custkey END AS INTEGER) AS k FROM customer WHERE c_mktsegment NOT IN ('MACHINERY', 'HOUSEHOLD')", "utf8mb4_general_ci"),
     "show_tables": Query("CREATE TABLE one (a INT); CREATE VIEW two AS SELECT a FROM one; SHOW FULL TABLES", "SELECT 'one' AS Tables_in_quarry, 'BASE TABLE' AS Table_type UNION ALL SELECT 'two', 'VIEW'"),
     "information_columns": Query("CREATE TABLE t (a INT PRIMARY KEY, b VARCHAR(9)); SELECT COLUMN_NAME AS name, DATA_TYPE AS kind, COLUMN_KEY AS mark FROM information_schema.columns WHERE TABLE_NAME = 't'", "SELECT 'a' AS name, 'int' AS kind, 'PRI' AS mark UNION ALL SELECT 'b', 'varchar', ''"),
 }
@@ -216,12 +260,77 @@ def api_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.page(r.ordered(found.select("p_partkey", "place", "running"), "p_partkey"), 50, 10)
 
 
+def api_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the program's own, written once, and read twice."""
+    marks = r.source(spark, [(0, "low"), (2, "middle"), (4, "high")], "k long, mark string")
+    kept = r.materialize(r.join(frames(spark, sf_dir)["nation"], marks, "n_regionkey = k"), f"{scratch(spark)}/marks")
+    return r.union(r.aggregate(kept, ["mark"], n="count(1)"), r.aggregate(kept, ["'all'"], n="count(1)"), distinct=True)
+
+
+def filled(spark: SparkSession, sf_dir: str) -> Session:
+    s = session(spark, sf_dir)
+    s.script("CREATE TABLE t (k INT PRIMARY KEY, name VARCHAR(30) UNIQUE, r INT, KEY by_r (r)); INSERT INTO t SELECT n_nationkey, n_name, n_regionkey FROM nation")
+    return s
+
+
+def explain_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = filled(spark, sf_dir)
+    plans = [s.sql(f"EXPLAIN SELECT * FROM t WHERE {w}") for w in ("k = 7", "name = 'NATION_3'", "k > 20", "r = 1", "r + k = 3")]
+    return r.union(*(p.select("table", "type", "key", "rows") for p in plans))
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session(spark, sf_dir).sql("SELECT n_nationkey, ? AS mark FROM nation WHERE n_regionkey = ? AND n_name <> ? LIMIT ?", ["it's", 1, "NATION_1", 100])
+
+
+def dump_and_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = filled(spark, sf_dir)
+    s.sql(f"EXPORT DATABASE quarry TO '{s.store.root}/dump'")
+    dump = [row["value"] for part in ("definitions", "data/t") for row in spark.read.text(f"{s.store.root}/dump/{part}").collect()]
+    other = Session(spark, collation_name=CASE_SENSITIVE)
+    other.restore("\n".join(dump))
+    return other.sql("SELECT k, name, r FROM t")
+
+
+def backup_and_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = filled(spark, sf_dir)
+    s.sql(f"BACKUP MVCC TO '{s.store.root}/backup'")
+    s.script("DELETE FROM t WHERE k > 3; CREATE TABLE more (a INT)")
+    s.sql(f"RESTORE MVCC FROM '{s.store.root}/backup'")
+    s.sql("INSERT INTO t VALUES (100, 'new', 1)")
+    return s.sql("SELECT k, name, r FROM t")
+
+
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What constraints refuse, by error number; a statement that fails changes nothing."""
+    s = filled(spark, sf_dir)
+    s.script("CREATE TABLE c (k INT PRIMARY KEY, kind ENUM('a', 'b'), body JSON, r INT NOT NULL, short VARCHAR(3), FOREIGN KEY (r) REFERENCES t (k), CHECK (k < 100)); INSERT INTO c VALUES (1, 'a', '{}', 1, 'abc')")
+    tried = [
+        "INSERT INTO t VALUES (200, 'fresh', 1), (7, 'other', 1)", "INSERT INTO c VALUES (2, 'z', '{}', 1, 'x')", "INSERT INTO c VALUES (2, 'a', '{', 1, 'x')", "INSERT INTO c VALUES (2, 'a', '{}', NULL, 'x')",
+        "INSERT INTO c VALUES (2, 'a', '{}', 1, 'long')", "INSERT INTO c VALUES (2, 'a', '{}', 999, 'x')", "INSERT INTO c VALUES (200, 'a', '{}', 1, 'x')", "DELETE FROM t WHERE k < 3", "UPDATE t SET k = 5", "DROP TABLE t",
+    ]
+    told = []
+    for n, text in enumerate(tried):
+        try:
+            s.sql(text)
+        except SqlError as e:
+            told.append((n, str(e)[:6]))
+    left = s.sql("SELECT (SELECT COUNT(*) FROM t) AS t, (SELECT COUNT(*) FROM c) AS c").first()
+    return r.source(spark, [*told, (98, str(left["t"])), (99, str(left["c"]))], "n int, told string")
+
+
 _KINDS = "SELECT '{}' AS how, COUNT(*) AS n FROM customer {} JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000"
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "api_pipeline": (api_pipeline, "SELECT c_mktsegment, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY 1 ORDER BY total DESC, 1 LIMIT 3"),
     "api_distinct_first": (api_distinct_first, "SELECT MIN(c_custkey) AS k, arg_min(CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END, c_custkey) AS segment FROM customer GROUP BY lower(c_mktsegment)"),
     "api_first_match": (api_first_match, "SELECT o_custkey AS customer, MIN(o_orderkey) AS key, arg_min(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1"),
     "api_joins": (api_joins, " UNION ALL ".join(_KINDS.format(a, b) for a, b in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL"), ("left_semi", "SEMI"), ("left_anti", "ANTI"))) + " UNION ALL SELECT 'cross', COUNT(*) FROM region, nation"),
+    "api_materialize": (api_materialize, "WITH m AS (SELECT CASE n_regionkey WHEN 0 THEN 'low' WHEN 2 THEN 'middle' ELSE 'high' END AS mark FROM nation WHERE n_regionkey IN (0, 2, 4)) SELECT mark, COUNT(*) AS n FROM m GROUP BY 1 UNION SELECT 'all', COUNT(*) FROM m"),
+    "explain_keys": (explain_keys, "SELECT v.*, CAST(25 AS BIGINT) AS rows FROM (VALUES ('t', 'const', 'PRIMARY'), ('t', 'const', 'name'), ('t', 'range', 'PRIMARY'), ('t', 'ref', 'by_r'), ('t', 'ALL', NULL)) v(\"table\", type, key)"),
+    "prepared": (prepared, "SELECT n_nationkey, 'it''s' AS mark FROM nation WHERE n_regionkey = 1 AND n_name <> 'NATION_1' LIMIT 100"),
+    "dump_and_restore": (dump_and_restore, "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r FROM nation"),
+    "backup_and_restore": (backup_and_restore, "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r FROM nation UNION ALL SELECT 100, 'new', 1"),
+    "refused": (refused, "SELECT * FROM (VALUES (0, '(1062)'), (1, '(1265)'), (2, '(3140)'), (3, '(1048)'), (4, '(1406)'), (5, '(1452)'), (6, '(3819)'), (7, '(1451)'), (8, '(1062)'), (9, '(3730)'), (98, '25'), (99, '1')) v(n, told)"),
     "api_windows": (api_windows, "SELECT p_partkey, row_number() OVER w AS place, CAST(SUM(p_size) OVER w AS BIGINT) AS running FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) ORDER BY p_partkey LIMIT 50 OFFSET 10"),
 }
 

@@ -749,6 +749,19 @@ class Session:
         own = [] if self.open is None else [self.open, *(c for _, c in self.savepoints)]
         return Done(self.store.collect_garbage(self.store.load(), *own))
 
+    def _backup(self, path: str) -> Done:
+        """The published tables, as a root of its own below path."""
+        return Done(self.store.copy_to(Store(self.spark, path), self.store.load()))
+
+    def _restore(self, path: str) -> Done:
+        """The tables of a backup in place of the present ones."""
+        if self.open is not None:
+            raise SqlError("(1192) a transaction is open")
+        backup = Store(self.spark, path)
+        if not backup.revisions():
+            raise SqlError(f"there is no backup at {path}")
+        return Done(backup.copy_to(self.store, backup.load()))
+
     # metadata
 
     def _show(self, text: str) -> DataFrame:

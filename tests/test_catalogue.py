@@ -42,6 +42,17 @@ def test_query(spark, duck, name):
     assert rows(mine.columns, mine.collect()) == rows(theirs.columns, theirs.fetchall())
 
 
+READ = [n for n, q in catalogue.QUERIES.items() if q.collation == catalogue.CASE_SENSITIVE and ";" not in q.sql and not q.sql.startswith("SHOW")]
+
+
+@pytest.mark.parametrize("name", sorted(READ))
+def test_query_under_the_default_collation(spark, duck, name):
+    """The tables have no texts that differ by case alone."""
+    mine = catalogue.session(spark, SMALL, "utf8mb4_general_ci").sql(catalogue.QUERIES[name].sql)
+    theirs = duck.sql(catalogue.oracle_sql()[name])
+    assert rows(mine.columns, mine.collect()) == rows(theirs.columns, theirs.fetchall())
+
+
 def test_pushdown_and_pruning(spark):
     plan = catalogue.session(spark, SMALL).sql("SELECT l_orderkey FROM lineitem WHERE l_quantity > 49")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,49.0)" in plan
