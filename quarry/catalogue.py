@@ -169,6 +169,7 @@ QUERIES: dict[str, Query] = {
     "fk_update_cascade": Query("CREATE TABLE p (k INT PRIMARY KEY); INSERT INTO p SELECT r_regionkey FROM region; CREATE TABLE c (k INT PRIMARY KEY, r INT, FOREIGN KEY (r) REFERENCES p (k) ON UPDATE CASCADE); INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation; UPDATE p SET k = k + 100 WHERE k < 2; SELECT k, r FROM c", "SELECT n_nationkey AS k, CASE WHEN n_regionkey < 2 THEN n_regionkey + 100 ELSE n_regionkey END AS r FROM nation"),
     "upsert_second_key": Query("CREATE TABLE t (k INT PRIMARY KEY, e VARCHAR(30) UNIQUE, n INT); INSERT INTO t VALUES (1, 'a', 1); INSERT INTO t VALUES (10, 'x', 1), (11, 'x', 1), (1, 'y', 1), (12, 'a', 1), (13, NULL, 1), (14, NULL, 1) ON DUPLICATE KEY UPDATE n = n + VALUES(n); SELECT k, e, n FROM t", "SELECT * FROM (VALUES (1, 'a', 3), (10, 'x', 2), (13, NULL, 1), (14, NULL, 1)) v(k, e, n)"),
     "upsert_repeated": Query("CREATE TABLE t (k INT PRIMARY KEY, n INT); INSERT INTO t SELECT n_regionkey, 1 FROM nation ON DUPLICATE KEY UPDATE n = n + 1; SELECT k, n FROM t", "SELECT n_regionkey AS k, CAST(COUNT(*) AS INTEGER) AS n FROM nation GROUP BY 1"),
+    "upsert_hot_key": Query("CREATE TABLE t (k INT PRIMARY KEY, n BIGINT, last VARCHAR(30), total DOUBLE); INSERT INTO t VALUES (3, 1000, 'old', 0), (-1, 7, 'left', 0); INSERT INTO t SELECT o_custkey % 4, 1, o_orderstatus, 0 FROM orders ORDER BY o_orderkey ON DUPLICATE KEY UPDATE n = n + VALUES(n), last = IF(n % 2 = 0, 'even', 'odd'); SELECT k, n, last FROM t", "SELECT k, n + o AS n, CASE WHEN (n + o) % 2 = 0 THEN 'even' ELSE 'odd' END AS last FROM (SELECT CAST(o_custkey % 4 AS INTEGER) AS k, COUNT(*) AS n, CASE WHEN o_custkey % 4 = 3 THEN 1000 ELSE 0 END AS o FROM orders GROUP BY o_custkey % 4) t UNION ALL SELECT -1, 7, 'left'"),
     "decimal_whole": Query("CREATE TABLE m (id INT PRIMARY KEY, x DECIMAL(20,2)); INSERT INTO m VALUES (1, 12345678901234567.89), (2, -1.15), (3, 1.15), (4, NULL), (5, -3); SELECT id, CAST(CEIL(x) AS CHAR) AS c, CAST(FLOOR(x) AS CHAR) AS f, CAST(TRUNCATE(x, 1) AS CHAR) AS t, CAST(TRUNCATE(x, 2) AS CHAR) AS u, CAST(ABS(x) AS CHAR) AS a FROM m", "SELECT * FROM (VALUES (1, '12345678901234568', '12345678901234567', '12345678901234567.8', '12345678901234567.89', '12345678901234567.89'), (2, '-1', '-2', '-1.1', '-1.15', '1.15'), (3, '2', '1', '1.1', '1.15', '1.15'), (4, NULL, NULL, NULL, NULL, NULL), (5, '-3', '-3', '-3.0', '-3.00', '3.00')) v(id, c, f, t, u, a)"),
     "unique_by_bytes": Query("CREATE TABLE u (a VARCHAR(9) UNIQUE); INSERT INTO u VALUES ('a'), ('A'); INSERT IGNORE INTO u VALUES ('a'), ('B'); SELECT a FROM u", "SELECT * FROM (VALUES ('a'), ('A'), ('B')) v(a)"),
     "unique_by_letters": Query("CREATE TABLE u (a VARCHAR(9) UNIQUE, n INT); INSERT INTO u VALUES ('a', 1); INSERT IGNORE INTO u VALUES ('A', 2), ('B', 3); SELECT n FROM u", "SELECT * FROM (VALUES (1), (3)) v(n)", "utf8mb4_general_ci"),

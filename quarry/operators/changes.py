@@ -21,6 +21,8 @@ from quarry.sources.store import ROW, Catalogue, Index, Store, Table, arguments,
 MOST_DEPTH = 32
 #: Sides of a join with fewer rows than this go to every executor; they are counted first.
 FEW = 10_000
+#: So many rows of one key are folded in one pass of an upsert; a key with more takes several passes.
+FOLD = 4096
 
 
 def small(rows: DataFrame) -> DataFrame:
@@ -117,11 +119,13 @@ class Changes:
 
     # inserting
 
-    def insert(self, table: Table, rows: DataFrame, mode: str = "", update=None) -> int:
+    def insert(self, table: Table, rows: DataFrame, mode: str = "", update=None, step: str | None = None) -> int:
         """rows: the table's columns, and ROW with their order in the statement. mode: ignore, replace or update."""
         old = self.store.read(table)
         if mode and table.keys():
             kept = self.held(table, rows)
+            if step and len(table.keys()) == 1:
+                return self.insert_or_fold(table, kept, step)
             return {"ignore": self.insert_new, "replace": self.insert_instead, "update": self.insert_or_update}[mode](table, kept, old, update)
         self.check_rows(table, rows)
         self.check_keys(table, rows, old if table.folders else None)
@@ -200,6 +204,36 @@ class Changes:
                 count += self.insert(table, now)
         return count
 
+    def insert_or_fold(self, table: Table, rows: DataFrame, step: str) -> int:
+        """An upsert on a table's only key: the rows of a key are folded in their order, onto the old row or the first of them.
+
+        step: the fields of the row that `_old` and `_new` make. One pass for FOLD rows of each key, whatever the number of keys.
+        """
+        key = table.keys()[0]
+        known = reduce(lambda a, b: a & b, (F.col(f"`{c}`").isNotNull() for c in key.columns))
+        k = names(key.columns)
+        by = dict(zip(k, [self.folded(table, c) for c in key.columns], strict=True))
+        marked = rows.withColumns({**by, "_alone": F.when(~known, F.col(ROW))})
+        marked = marked.withColumn("_turn", F.floor((F.row_number().over(Window.partitionBy(*k, "_alone").orderBy(ROW)) - 1) / FOLD))
+        own = [f"`{c.name}`" for c in table.columns]
+        count = 0
+        for turn in range((marked.agg(F.max("_turn")).first()[0] or 0) + 1):
+            now = marked.where(F.col("_turn") == turn)
+            groups = now.groupBy(*k, "_alone").agg(F.sort_array(F.collect_list(F.struct(ROW, F.struct(*own).alias("row")))).alias("_rows"))
+            there = self.store.read(table)
+            there = there.select(*(c.alias(n) for n, c in by.items()), F.struct(*own).alias("_there"), F.col(ROW).alias("_at"))
+            met = groups.join(there, k, "left")
+            start = "CASE WHEN _at IS NULL THEN _rows[0].row ELSE _there END"
+            rest = "CASE WHEN _at IS NULL THEN slice(_rows, 2, size(_rows)) ELSE _rows END"
+            folded = f"aggregate(transform({rest}, x -> x.row), {start}, (`_old`, `_new`) -> named_struct({step}))"
+            made = met.select(F.expr(folded).alias("row"), F.expr(f"coalesce(_at, _rows[0].{ROW})").alias(ROW), F.col("_at").isNotNull().alias("_was"), F.size("_rows").alias("_n"))
+            made = self.store.keep(made, "folded")
+            changed, fresh = (made.where(c).select("row.*", ROW) for c in ("_was", "NOT _was"))
+            self.update(table, changed, {c.name.lower() for c in table.columns} - set(map(str.lower, key.columns)))
+            self.insert(table, fresh)
+            count += made.agg(F.sum("_n")).first()[0] or 0
+        return count
+
     # changing
 
     def update(self, table: Table, changed: DataFrame, touched: set[str] | None = None, depth: int = 0) -> int:

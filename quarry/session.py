@@ -496,7 +496,7 @@ class Session:
             if given is not None:
                 out, t.next_auto = self.numbered(t, out, given, first)
             mode = "replace" if replace else "update" if update else "ignore" if ignore else ""
-            count = self.changes(c, table).insert(t, out, mode, (lambda u, hit, key: self.upsert(c, table, u, hit, key, update)) if update else None)
+            count = self.changes(c, table).insert(t, out, mode, (lambda u, hit, key: self.upsert(c, table, u, hit, key, update)) if update else None, self.step(t, update) if update else None)
             if given is not None and t.next_auto > first:
                 self.last_insert_id = first
             return Done(count, self.last_insert_id)
@@ -547,6 +547,23 @@ class Session:
             rows = self.spark.sql(f"SELECT {own} FROM {view} AS {quoted(alias)}")
         return rows
 
+    def step(self, t: Table, update) -> str | None:
+        """The fields of the row that an upsert makes of `_old` and `_new`; None where that isn't an expression of these alone."""
+        keys = {x.lower() for k in t.keys() for x in k.columns}
+        now = {x.name.lower(): f"`_old`.{quoted(x.name)}" for x in t.columns}
+        done = {n[1].lower() for n, _ in update}
+        for name, text in [*((n[1], e) for n, e in update), *((x.name, x.on_update) for x in t.columns if x.on_update and x.name.lower() not in done)]:
+            c = t.column(name)
+            if name.lower() in keys or any(x.text.upper() == "SELECT" for x in tokens(text)):
+                return None
+            context = self.context()
+            context.replaced, context.columns = {x.name.lower(): f"`_new`.{quoted(x.name)}" for x in t.columns}, now
+            made = self.default_text(c) if text.strip().upper() == "DEFAULT" else Translator(text, context).expression().text
+            if "quarry_" in made:
+                return None
+            now = {**now, name.lower(): f"CAST({made} AS {spark_type(c.declared).simpleString()})"}
+        return ", ".join(f"{scalar.literal(x.name)}, {now[x.name.lower()]}" for x in t.columns)
+
     def upsert(self, c: Catalogue, table, t: Table, hit: DataFrame, key: Index, update) -> int:
         """Old rows that have the key of a new one, changed; VALUES(x) is the new row's."""
         renamed = hit.select(*(F.col(f"`{x.name}`").alias(f"_new_{x.name}") for x in t.columns))
