@@ -282,8 +282,9 @@ def register(spark: SparkSession) -> None:
         spark.udf.register(f"quarry_{name.lower()}", F.arrow_udf(_bound(name), kind))
 
 
-#: What keeps a text out of variants: fractions, exponents, numbers beyond 64 bits, escapes, characters beyond 16 bits.
-_ODD = literal(r"[0-9][.eE]|[0-9]{19}|\\|[^\x{0}-\x{FFFF}]")
+#: What keeps a text out of variants: exponents, fractions that a double would show otherwise (long, small, ending in 0), numbers
+#: beyond 64 bits, escapes, characters beyond 16 bits.
+_ODD = literal(r"[0-9][eE]|\.[0-9]*0(?![0-9])|0\.000|[0-9]{19}|(?=[0-9]*\.)[0-9.]{17}|\\|[^\x{0}-\x{FFFF}]")
 #: An element after the document, which no text without escapes can hold, shows that all of the text was one document.
 _AFTER = literal(',"\\u0001"]')
 
@@ -327,7 +328,7 @@ class Held:
         made = {
             "JSON_EXTRACT": x,
             "JSON_VALID": "1L",
-            "JSON_TYPE": f"(CASE left({x}, 1) WHEN '{{' THEN 'OBJECT' WHEN '[' THEN 'ARRAY' WHEN '\"' THEN 'STRING' WHEN 'n' THEN 'NULL' WHEN 't' THEN 'BOOLEAN' WHEN 'f' THEN 'BOOLEAN' ELSE if({x} IS NULL, NULL, 'INTEGER') END)",
+            "JSON_TYPE": f"(CASE left({x}, 1) WHEN '{{' THEN 'OBJECT' WHEN '[' THEN 'ARRAY' WHEN '\"' THEN 'STRING' WHEN 'n' THEN 'NULL' WHEN 't' THEN 'BOOLEAN' WHEN 'f' THEN 'BOOLEAN' ELSE if({x} IS NULL, NULL, if(contains({x}, '.'), 'DOUBLE', 'INTEGER')) END)",
             "JSON_LENGTH": f"CAST(CASE left({x}, 1) WHEN '{{' THEN array_size(json_object_keys({x})) WHEN '[' THEN json_array_length({x}) ELSE if({x} IS NULL, NULL, 1) END AS BIGINT)",
             "JSON_KEYS": f"(CASE WHEN left({x}, 1) = '{{' THEN to_json(array_sort(json_object_keys({x}))) END)",
             "JSON_UNQUOTE": f"(CASE WHEN left({x}, 1) = '\"' THEN try_variant_get({self.whole}, '$[0]{self.path}', 'string') ELSE {x} END)",

@@ -50,6 +50,7 @@ def test_in_sql(spark):
 ODD = [
     None, "", " ", "{", "{}", "[]", "[1", "null", "true", " false ", "5", "-0", "01", "1.50", "1e3", "NaN", "'x'", '"x"', '"a\\nb"', '"a\tb"', '"\\ud800"', "1 2", "1,2", "1],[2",
     '{"k":1} x', '{"k":1,"k":2}', '{"k":null}', '{"k":{"z":1,"b":[2,{}],"k":"q"}}', ' {"z" : [1, 2] , "k" : "é"} ', '{"k":1.0}', '{"k":12345678901234567890}', '{"k":[1,2,3]}', '{"K":1}', '{"k":{"k":{"k":true}}}',
+    '{"k":0.5}', '{"k":-12.0625}', '{"k":0.0001}', '{"k":0.00001}', '{"k":3.10}', '{"k":100.5}', '{"k":0.12345678901234567}', '{"k":123456789012345.5}', '{"k":1234567890123456789.5}', '{"k":[0.1,2,1.0]}', '{"k":1.5e3}',
     '{"\U0001f600":1,"￮":2}', '[{"k":1}]', "[" * 101 + "]" * 101, '{"k":"' + "long " * 5000 + '"}', '1,"\u0001"]', '1,"\\u0001"]', "﻿{}",
 ]
 CALLS = {
