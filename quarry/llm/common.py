@@ -96,6 +96,11 @@ class Tables:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def size(self, name: str) -> int:
+        """Bytes of the files."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
     def drop(self, *names: str) -> None:
         for n in names:
             remove(self.spark, f"{self.root}/{n}")

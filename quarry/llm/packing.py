@@ -30,6 +30,8 @@ from quarry.llm.bpe import Vocabulary, default_path, encoder, runs
 from quarry.llm.common import Tables, tidy
 
 LENGTH, END = 4096, 2
+#: About so many bytes of written ids go into a range, where the session's number of shuffle partitions would make them larger.
+RANGE_BYTES = 64 << 20
 WIDTH, DIMS, BITS, SEED = 256, 3, 16, 7
 
 
@@ -132,7 +134,9 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     path = path or default_path()
     spark = docs.sparkSession
     width = np.dtype("<u2" if Vocabulary(path).size <= 1 << 16 else "<u4")
-    held = Tables(spark, "packing").keep(encoded(docs, path), "ids")
+    tables = Tables(spark, "packing")
+    held = tables.keep(encoded(docs, path), "ids")
+    ranges = -(-tables.size("ids") // RANGE_BYTES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
@@ -151,5 +155,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=PIECE)
 
-    ranged = held.repartitionByRange(F.col("place"), F.col("doc_id")).sortWithinPartitions("place", "doc_id")
+    order = (F.col("place"), F.col("doc_id"))
+    few = ranges <= int(spark.conf.get("spark.sql.shuffle.partitions"))  # then Spark joins small ranges
+    ranged = (held.repartitionByRange(*order) if few else held.repartitionByRange(ranges, *order)).sortWithinPartitions("place", "doc_id")
     return ranged.select("doc_id", "ids").mapInArrow(tidy(work), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

@@ -192,6 +192,14 @@ def test_redaction(odd):
     assert secrets.redact(odd).columns == odd.columns
 
 
+def test_packing_in_ranges_by_bytes(ready, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_BYTES", 4096)
+    docs = ready.read.parquet(f"{SMALL}/documents.parquet")
+    found = packing.pack(docs)
+    assert found.rdd.getNumPartitions() > int(ready.conf.get("spark.sql.shuffle.partitions"))
+    check_pieces(docs, found)
+
+
 def test_permutations_are_permutations():
     assert sorted(pii.permuted(k, 1000, b"k", "t") for k in range(1000)) == list(range(1000))
     assert len({pii.like(f"{k:03d}", b"k", "t") for k in range(1000)}) == 1000
