@@ -1,17 +1,24 @@
-"""Embedding near-deduplication by projection passes over whole buckets.
+"""Embedding near-deduplication: all vectors compared with each other, or where a caller asks for it, by projection passes.
 
 1. Equal vectors are one class, represented by its smallest id; only representatives are compared.
-2. In each pass a vector's code is the signs of its products with random directions, and all vectors of one code (a
-   bucket) are compared with each other in double precision. Two vectors at the limit share a bucket in one of the
-   passes with probability ``RECALL``, however full the buckets are. Of the verified pairs goes out a spanning forest.
-   Large buckets are dealt to tasks as pairs of blocks (see dealing.large_groups).
-3. How many signs a code has follows from the measured fill: from up to ``SAMPLE`` vectors the share of pairs that
-   agree in the first k signs is counted, and the k with the least work is taken (more signs: fewer pairs, more
-   passes). Where vectors crowd so much that no code parts them, k is 0, which compares all with all.
-4. The verified pairs of all passes are united: connected components. Within each component all pairs are compared
-   (by blocks as well), and links are counted there: no link within a component is lost.
-
-Vectors travel as 32-bit numbers where these hold them exactly, else as 64-bit ones; all products are of 64-bit numbers.
+2. All representatives of one length are compared with each other, as pairs of blocks: no pair within the limit is lost, at
+   any size and however the vectors lie. 32-bit products tell all pairs but those whose product is as near to the limit as
+   these products may err; these are told by 64-bit ones. Of the pairs of a unit goes out a spanning forest.
+3. The links are united: connected components. Within each component all pairs are compared once more, in the same way,
+   and links are counted there.
+
+The work grows with the square of the number of distinct vectors, and a vector travels ``SHARES`` times, or once for every
+``COMPONENTS`` numbers there are where that is more. Callers who would rather lose some links than wait give ``window``:
+
+* In each pass a vector's code is the signs of its products with random directions, and all vectors of one code (a
+  bucket) are compared with each other. Two vectors at the limit share a bucket in one of the passes with probability
+  ``RECALL``, however full the buckets are. Large buckets are dealt to tasks as pairs of blocks (see dealing.large_groups).
+* How many signs a code has follows from the number of vectors and the measured fill: from up to ``SAMPLE`` vectors the share
+  of pairs that agree in the first k signs is counted, and the k with the least work is taken (more signs: fewer pairs, more
+  passes). Where vectors crowd so much that no code parts them, or are few, k is 0, which compares all with all. So which
+  links are lost depends on the size of the table; the query never gives ``window``.
+
+Vectors travel as 32-bit numbers where these hold them exactly, else as 64-bit ones.
 Within a component each vector meets each other one, so for a component of k vectors the work grows with k squared, and
 a vector travels k / ``BLOCK`` times. No projection prunes that: in many dimensions vectors of one component lie too near
 together for the bound (0.45 along any direction, at 0.9) to part them.
@@ -33,11 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Tables, tidy
-from quarry.llm.dealing import dealt, large_groups
+from quarry.llm.dealing import LEAST, SHARES, dealt, large_groups
 from quarry.llm.graph import components
 from quarry.llm.simhash import forest
 
 LIMIT, WINDOW, HASHES, RECALL, BLOCK, SEED = 0.9, 64, 48, 0.98, 2048, 23
+#: Numbers in a block of whole vectors, and rows and columns of products held at a time.
+COMPONENTS, ROWS, COLUMNS = 1 << 22, 256, 2048
 #: Vectors that the fill of the codes is measured with, and drawings of the directions for it.
 SAMPLE, DRAWINGS = 4096, 4
 #: Seconds for a row in a pass, for a pair, and for each component of a pair: only their proportions matter.
@@ -138,16 +147,43 @@ def coded(classes: DataFrame, bits: dict[int, int], limit: float = LIMIT, raw: b
     return classes.select("rep", "dims", "raw").mapInArrow(tidy(work), "bucket binary, rep bigint" + ", raw binary" * raw)
 
 
+def near_pairs(x: np.ndarray, side: np.ndarray, same: bool, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A unit's pairs within the limit, each once. x: vectors of length 1, whose 32-bit products err by less than slack."""
+    slack = (x.shape[1] + 8) * 2.0**-22
+    own, other = (np.arange(len(x)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side != 0))
+    left = x[own].astype(np.float32)
+    right = left if same else x[other].astype(np.float32)
+    step = max(1, (1 << 20) // x.shape[1])
+    for s in range(0, len(own), ROWS):
+        for t in range(s if same else 0, len(other), COLUMNS):
+            product = left[s : s + ROWS] @ right[t : t + COLUMNS].T
+            at = np.flatnonzero(product > limit - slack)
+            a, b = own[at // product.shape[1] + s], other[at % product.shape[1] + t]
+            within = product.ravel()[at] >= limit + slack
+            if same:
+                within &= b > a
+                unsure = np.flatnonzero(~within & (b > a))
+            else:
+                unsure = np.flatnonzero(~within)
+            for u in np.split(unsure, range(step, len(unsure), step)):
+                within[u] = np.einsum("ij,ij->i", x[a[u]], x[b[u]]) >= limit
+            if within.any():
+                yield a[within], b[within]
+
+
 def unit_links(rep: np.ndarray, side: np.ndarray, same: bool, x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of a unit's pairs within the limit."""
     n = len(rep)
     label = np.arange(n)
-    for s in range(0, n, 1024):
-        near = x[s : s + 1024] @ x[s:].T >= limit
-        if not same:
-            near &= side[s : s + 1024, None] != side[None, s:]
-        a, b = np.nonzero(near)
-        label = forest(n, a[b > a] + s, b[b > a] + s, label)
+    held: list[tuple] = []
+    many = 0
+    for a, b in near_pairs(x, side, same, limit):
+        held.append((a, b))
+        many += len(a)
+        if many > 1 << 20:
+            label, held, many = forest(n, *map(np.concatenate, zip(*held, strict=True)), label), [], 0
+    if held:
+        label = forest(n, *map(np.concatenate, zip(*held, strict=True)), label)
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, label, rep)
     root = least[label]
@@ -155,9 +191,8 @@ def unit_links(rep: np.ndarray, side: np.ndarray, same: bool, x: np.ndarray, lim
     return rep[out], root[out]
 
 
-def bucket_search(tables: Tables, known: DataFrame, bits: dict[int, int], limit: float = LIMIT, block: int = BLOCK) -> DataFrame:
-    """Links found among all members of each bucket in each pass."""
-    large, many = large_groups(tables, coded(known, bits, limit, False), "bucket", block, "large-buckets")
+def searched(rows: DataFrame, key: str, large: DataFrame, many: int, limit: float) -> DataFrame:
+    """Links found among all members of each group of rows (key, rep, raw); large groups by blocks."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +214,23 @@ def bucket_search(tables: Tables, known: DataFrame, bits: dict[int, int], limit:
         if len(held) > 1:
             yield done()
 
-    rows = dealt(coded(known, bits, limit), "bucket", large, many)
-    ordered = rows.repartition("unit").sortWithinPartitions("bucket", "unit")
-    return ordered.select("bucket", "unit", "side", "same", "rep", "raw").mapInArrow(tidy(work), "a bigint, b bigint")
+    ordered = dealt(rows, key, large, many).repartition("unit").sortWithinPartitions(key, "unit")
+    return ordered.select(key, "unit", "side", "same", "rep", "raw").mapInArrow(tidy(work), "a bigint, b bigint")
+
+
+def whole_search(tables: Tables, known: DataFrame, limit: float = LIMIT, numbers: int = COMPONENTS) -> DataFrame:
+    """Links found among all vectors of one length, whatever their number: it sets only how many blocks they are dealt as."""
+    k, most = F.col("k"), F.greatest(F.lit(1), F.floor(F.lit(numbers) / F.col("dims")))
+    blocks = F.greatest(F.ceil(k / most), F.least(F.lit(SHARES), F.ceil(k / LEAST))).cast("int")
+    counts = known.groupBy("dims").agg(F.count(F.lit(1)).alias("k"))
+    large = tables.keep(counts.select("dims", blocks.alias("blocks")).where("blocks > 1"), "large-lengths")
+    return searched(known.select("dims", "rep", "raw"), "dims", large, large.count(), limit)
+
+
+def bucket_search(tables: Tables, known: DataFrame, bits: dict[int, int], limit: float = LIMIT, block: int = BLOCK) -> DataFrame:
+    """Links found among all members of each bucket in each pass."""
+    large, many = large_groups(tables, coded(known, bits, limit, False), "bucket", block, "large-buckets")
+    return searched(coded(known, bits, limit), "bucket", large, many, limit)
 
 
 def measured_bits(known: DataFrame, limit: float = LIMIT, window: int = WINDOW) -> dict[int, int]:
@@ -200,16 +249,10 @@ def counted(tables: Tables, members: DataFrame, limit: float, block: int) -> Dat
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64())])
 
     def one(rep: np.ndarray, side: np.ndarray, same: bool, size: np.ndarray, raw: list) -> pa.RecordBatch:
-        x = units(unpacked(raw))
         n = np.zeros(len(rep), np.int64)
-        for s in range(0, len(rep), 1024):
-            near = x[s : s + 1024] @ x.T >= limit
-            at = np.arange(s, s + len(near))
-            if same:
-                near[np.arange(len(near)), at] = False
-            else:
-                near &= side[at][:, None] != side[None, :]
-            n[at] = near @ size
+        for a, b in near_pairs(units(unpacked(raw)), side, same, limit):
+            np.add.at(n, a, size[b])
+            np.add.at(n, b, size[a])
         return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n)], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,14 +278,18 @@ def counted(tables: Tables, members: DataFrame, limit: float, block: int) -> Dat
     return ordered.select("component", "unit", "side", "same", "rep", "size", "raw").mapInArrow(tidy(work), "rep bigint, n bigint").groupBy("rep").agg(F.sum("n").alias("n"))
 
 
-def near_groups(vectors: DataFrame, limit: float = LIMIT, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id and kept for vectors (vec_id, embedding)."""
+def near_groups(vectors: DataFrame, limit: float = LIMIT, window: int | None = None, block: int = BLOCK) -> DataFrame:
+    """vec_id, n_links, component_id and kept for vectors (vec_id, embedding).
+
+    Without window every link is found, at any size. With it links are searched in passes, by codes none longer than leaves
+    a vector that many others to be compared with, and a link is found with probability ``RECALL`` or more.
+    """
     tables = Tables(vectors.sparkSession, "embeddings")
     rows = tables.keep(prepared(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))), "vectors")
     valid = rows.where("hash is not null")
     classes = tables.keep(valid.groupBy("hash").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("dims").alias("dims"), F.first("raw").alias("raw")), "classes")
     known = classes.where("rep is not null")
-    found = bucket_search(tables, known, measured_bits(known, limit, window), limit, block)
+    found = whole_search(tables, known, limit) if window is None else bucket_search(tables, known, measured_bits(known, limit, window), limit, block)
     joined = tables.keep(components(tables, found), "components")
     members = tables.keep(joined.join(known, joined["node"] == known["rep"]).select("component", "rep", "size", "raw"), "members")
     links = counted(tables, members, limit, block)

@@ -293,6 +293,40 @@ def test_op4_codes_follow_the_measured_fill():
     assert embeddings.passes(0) == 1
 
 
+def test_op4_loses_no_link_at_sizes_where_codes_would_part_vectors(ready):
+    """As many isolated pairs just within the limit are found among 6,000 vectors as there are."""
+    rng = np.random.default_rng(33)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((6000, 256)))
+    away = rng.standard_normal((1000, 256))
+    away = unit(away - (away * x[:1000]).sum(1, keepdims=True) * x[:1000])
+    x[1000:2000] = 0.901 * x[:1000] + (1 - 0.901**2) ** 0.5 * away
+    assert embeddings.bits_for(len(x), x[:4096]) > 0
+    df = ready.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = embeddings.near_groups(df).orderBy("vec_id").collect()
+    near = x @ x.T >= 0.9
+    assert [r["n_links"] for r in found] == (near.sum(1) - 1).tolist()
+    assert [r["component_id"] for r in found] == near.argmax(1).tolist()
+
+
+def test_op4_whole_search_by_small_blocks(ready):
+    """Vectors of two lengths, dealt as many blocks: the same components as of all pairs."""
+    rng = np.random.default_rng(34)
+    x = [v for d in (16, 24) for v in np.repeat(rng.standard_normal((60, d)), 4, 0) + 0.3 * rng.standard_normal((240, d))]
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    df = ready.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    known = embeddings.prepared(df).select(F.col("vec_id").alias("rep"), "hash", "dims", "raw")
+    links = embeddings.whole_search(Tables(ready, "t"), known, numbers=300)
+    found = {r["node"]: r["component"] for r in graph.components(Tables(ready, "t"), links).collect()}
+    assert [found.get(k, k) for k in range(len(x))] == [c for _, _, c, _ in plain_vectors(rows, 0.9)]
+
+
+def test_op4_pairs_next_to_the_limit_are_told_by_64_bit_products():
+    x = np.array([[1.0, 0.0], *([c, (1 - c * c) ** 0.5] for c in (0.9 + 1e-9, 0.9 - 1e-9, 0.9 + 1e-3, 0.9 - 1e-3))])
+    told = lambda side, same: sorted((int(i), int(j)) for a, b in embeddings.near_pairs(x, side, same, 0.9) for i, j in zip(a, b, strict=True) if not i)
+    assert told(np.zeros(5, int), True) == told(np.array([0, 1, 1, 1, 1]), False) == [(0, 1), (0, 3)]
+
+
 def test_op4_query(ready):
     rows = [(r["vec_id"], r["embedding"]) for r in ready.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     assert sorted(map(tuple, registry.op4_embedding_near_dedup(ready, SMALL).collect())) == plain_vectors(rows, 0.9)
