@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import jsonfn
+from quarry.operators import folding
 from quarry.plans.lexer import SqlError
 from quarry.sources.store import ROW, Catalogue, Index, Store, Table, arguments, base_type, length_of, spark_type
 
 MOST_DEPTH = 32
 #: Sides of a join with fewer rows than this go to every executor; they are counted first.
 FEW = 10_000
-#: So many rows of one key are folded in one pass of an upsert; a key with more takes several passes.
-FOLD = 4096
+#: Where an upsert's rows have to be folded one by one, so many bytes of one key's are in one pass.
+FOLD = 16 << 20
 
 
 def small(rows: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ class Changes:
 
     # inserting
 
-    def insert(self, table: Table, rows: DataFrame, mode: str = "", update=None, step: str | None = None) -> int:
+    def insert(self, table: Table, rows: DataFrame, mode: str = "", update=None, step: folding.Step | None = None) -> int:
         """rows: the table's columns, and ROW with their order in the statement. mode: ignore, replace or update."""
         old = self.store.read(table)
         if mode and table.keys():
@@ -204,35 +205,52 @@ class Changes:
                 count += self.insert(table, now)
         return count
 
-    def insert_or_fold(self, table: Table, rows: DataFrame, step: str) -> int:
-        """An upsert on a table's only key: the rows of a key are folded in their order, onto the old row or the first of them.
-
-        step: the fields of the row that `_old` and `_new` make. One pass for FOLD rows of each key, whatever the number of keys.
-        """
+    def insert_or_fold(self, table: Table, rows: DataFrame, step: folding.Step) -> int:
+        """An upsert on a table's only key: the rows of a key are folded in their order, onto the old row or the first of them."""
         key = table.keys()[0]
         known = reduce(lambda a, b: a & b, (F.col(f"`{c}`").isNotNull() for c in key.columns))
         k = names(key.columns)
         by = dict(zip(k, [self.folded(table, c) for c in key.columns], strict=True))
+        own = [F.col(f"`{c.name}`") for c in table.columns]
         marked = rows.withColumns({**by, "_alone": F.when(~known, F.col(ROW))})
-        marked = marked.withColumn("_turn", F.floor((F.row_number().over(Window.partitionBy(*k, "_alone").orderBy(ROW)) - 1) / FOLD))
-        own = [f"`{c.name}`" for c in table.columns]
-        count = 0
-        for turn in range((marked.agg(F.max("_turn")).first()[0] or 0) + 1):
-            now = marked.where(F.col("_turn") == turn)
-            groups = now.groupBy(*k, "_alone").agg(F.sort_array(F.collect_list(F.struct(ROW, F.struct(*own).alias("row")))).alias("_rows"))
-            there = self.store.read(table)
-            there = there.select(*(c.alias(n) for n, c in by.items()), F.struct(*own).alias("_there"), F.col(ROW).alias("_at"))
-            met = groups.join(there, k, "left")
-            start = "CASE WHEN _at IS NULL THEN _rows[0].row ELSE _there END"
-            rest = "CASE WHEN _at IS NULL THEN slice(_rows, 2, size(_rows)) ELSE _rows END"
-            folded = f"aggregate(transform({rest}, x -> x.row), {start}, (`_old`, `_new`) -> named_struct({step}))"
-            made = met.select(F.expr(folded).alias("row"), F.expr(f"coalesce(_at, _rows[0].{ROW})").alias(ROW), F.col("_at").isNotNull().alias("_was"), F.size("_rows").alias("_n"))
-            made = self.store.keep(made, "folded")
-            changed, fresh = (made.where(c).select("row.*", ROW) for c in ("_was", "NOT _was"))
-            self.update(table, changed, {c.name.lower() for c in table.columns} - set(map(str.lower, key.columns)))
-            self.insert(table, fresh)
-            count += made.agg(F.sum("_n")).first()[0] or 0
-        return count
+        there = self.store.read(table).select(*(c.alias(n) for n, c in by.items()), F.struct(*own).alias("_there"), F.col(ROW).alias("_at"))
+        there = there.join(marked.select(*k).distinct(), k, "left_semi")
+        news = marked.select(*k, "_alone", F.struct(*own).alias("_new"), F.col(ROW).alias("_seq"), F.lit(None).cast("bigint").alias("_at"))
+        olds = there.select(*k, F.lit(None).cast("bigint").alias("_alone"), F.col("_there").alias("_new"), F.lit(-1).cast("bigint").alias("_seq"), "_at")
+        made = folding.run(news.unionByName(olds), [*k, "_alone"], {c.name: spark_type(c.declared) for c in table.columns}, step)
+        if made is not None:
+            made = self.store.keep(made.select("row", "_at", "_seq", "_n"), "folded")
+        else:
+            made = self.fold_in_turns(marked, there, k, own, step)
+        changed, fresh = (made.where(c).select("row.*", F.coalesce("_at", "_seq").alias(ROW)) for c in ("_at IS NOT NULL", "_at IS NULL"))
+        self.update(table, changed, {c.name.lower() for c in table.columns} - set(map(str.lower, key.columns)))
+        self.insert(table, fresh)
+        return made.agg(F.sum("_n")).first()[0] or 0
+
+    def fold_in_turns(self, marked: DataFrame, there: DataFrame, k: list[str], own: list[SparkColumn], step: folding.Step) -> DataFrame:
+        """The same for any assignments: FOLD bytes of each key at a time, from the row that the turn before left."""
+        order = Window.partitionBy(*k, "_alone").orderBy(ROW)
+        read = [c for c in marked.columns if c in step.reads("_new")]
+        texts = [c for c in read if isinstance(marked.schema[c].dataType, T.StringType)]
+        size = reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c in texts), F.lit(32 + 16 * len(read)).cast("bigint"))
+        marked = marked.withColumn("_size", size)
+        marked = marked.withColumn("_turn", F.floor((F.sum("_size").over(order) - F.col("_size")) / FOLD))
+        marked = self.store.keep(marked.withColumn("_last", F.max("_turn").over(Window.partitionBy(*k, "_alone"))), "turns", "_turn")
+        turns = sorted(r["_turn"] for r in marked.select("_turn").distinct().collect())
+        out, state = [], None
+        for turn in turns:
+            rows = F.sort_array(F.collect_list(F.struct(ROW, *(f"`{c}`" for c in read)))).alias("_rows")
+            groups = marked.where(F.col("_turn") == turn).groupBy(*k, "_alone").agg(rows, F.max("_last").alias("_last"), F.count(F.lit(1)).alias("_more"), *([F.min_by(F.struct(*own), ROW).alias("_head")] if state is None else []))
+            if state is None:
+                met = groups.join(there, k, "left").withColumns({"_n": F.lit(0), "_seq": F.expr(f"_rows[0].{ROW}")})
+                start, rest = "CASE WHEN _at IS NULL THEN _head ELSE _there END", "CASE WHEN _at IS NULL THEN slice(_rows, 2, size(_rows)) ELSE _rows END"
+            else:
+                met = groups.join(state.select(*k, "row", "_at", "_seq", "_n"), k)
+                start, rest = "row", "_rows"
+            folded = F.expr(f"aggregate({rest}, {start}, (`_old`, `_new`) -> named_struct({step.text}))")
+            state = self.store.keep(met.select(*k, folded.alias("row"), "_at", "_seq", (F.col("_n") + F.col("_more")).alias("_n"), "_last"), "folded", sorted_groups=True)
+            out.append(state.where(F.col("_last") == turn))
+        return reduce(DataFrame.unionByName, out) if out else there.where("false").select(F.col("_there").alias("row"), "_at", F.col("_at").alias("_seq"), F.lit(0).alias("_n"))
 
     # changing
 

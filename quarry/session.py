@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import jsonfn, scalar
+from quarry.operators import folding
 from quarry.operators.changes import Changes
 from quarry.plans import metadata
 from quarry.plans.lexer import SqlError, statements, tokens
@@ -547,10 +548,11 @@ class Session:
             rows = self.spark.sql(f"SELECT {own} FROM {view} AS {quoted(alias)}")
         return rows
 
-    def step(self, t: Table, update) -> str | None:
-        """The fields of the row that an upsert makes of `_old` and `_new`; None where that isn't an expression of these alone."""
+    def step(self, t: Table, update) -> folding.Step | None:
+        """How an upsert makes a row of `_old` and `_new`; None where that isn't an expression of these alone."""
         keys = {x.lower() for k in t.keys() for x in k.columns}
         now = {x.name.lower(): f"`_old`.{quoted(x.name)}" for x in t.columns}
+        assigned: dict[str, str] = {}
         done = {n[1].lower() for n, _ in update}
         for name, text in [*((n[1], e) for n, e in update), *((x.name, x.on_update) for x in t.columns if x.on_update and x.name.lower() not in done)]:
             c = t.column(name)
@@ -561,8 +563,10 @@ class Session:
             made = self.default_text(c) if text.strip().upper() == "DEFAULT" else Translator(text, context).expression().text
             if "quarry_" in made:
                 return None
+            assigned[c.name] = made
             now = {**now, name.lower(): f"CAST({made} AS {spark_type(c.declared).simpleString()})"}
-        return ", ".join(f"{scalar.literal(x.name)}, {now[x.name.lower()]}" for x in t.columns)
+        parse = self.spark._jsparkSession.sessionState().sqlParser().parseExpression
+        return folding.Step(", ".join(f"{scalar.literal(x.name)}, {now[x.name.lower()]}" for x in t.columns), assigned, parse)
 
     def upsert(self, c: Catalogue, table, t: Table, hit: DataFrame, key: Index, update) -> int:
         """Old rows that have the key of a new one, changed; VALUES(x) is the new row's."""

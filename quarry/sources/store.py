@@ -211,10 +211,18 @@ class Store:
         self.passing.append(folder := self.write(table, rows))
         return self.spark.read.schema(table.schema()).parquet(folder)
 
-    def keep(self, rows: DataFrame, name: str) -> DataFrame:
-        """The same for rows that aren't a table's."""
+    def keep(self, rows: DataFrame, name: str, by: str | None = None, sorted_groups: bool = False) -> DataFrame:
+        """The same for rows that aren't a table's. by: a column whose values get a folder each. sorted_groups: one group at a time is in memory."""
         self.passing.append(folder := f"{self.root}/data/{name}-{uuid.uuid4().hex}")
-        rows.write.parquet(folder)
+        hashed = "spark.sql.execution.useObjectHashAggregateExec"
+        before = self.spark.conf.get(hashed)
+        try:
+            if sorted_groups:
+                self.spark.conf.set(hashed, "false")
+            rows.write.parquet(folder, partitionBy=by)
+        finally:
+            if sorted_groups:
+                self.spark.conf.set(hashed, before)
         return self.spark.read.schema(rows.schema).parquet(folder)
 
     def sweep(self) -> None:
